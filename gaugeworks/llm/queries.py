@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, mpegts, urlfilter, warc
-from .common import load
+from . import bpe, langid, linededup, mixing, mpegts, syncmers, toxicity, urlfilter, warc
+from .common import crc32_of_id, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,10 +21,35 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(load(spark, sf_dir, "documents"), ["doc_id"], "text", public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare(load(spark, sf_dir, "documents"))
+
+
 def op3_warc_content_addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Weights of the mixing query's tree; nodes not named weigh 1.
+MIX_LEVELS = ["domain", "lang", "source"]
+MIX_WEIGHTS = {("d0",): 4, ("d1",): 3, ("d2",): 2, ("d3",): 1, (None, "en"): 4, (None, "de"): 2, (None, "fr"): 2, (None, "es"): 2}
+#: Share of all words to take, times a document is taken at most, seed of the epochs.
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.5, 2, 7
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", mixing.domain_of(F.col("source")).alias("domain"), "lang", "source", mixing.word_count(F.col("text")).alias("n_words"))
+    return mixing.select(docs, MIX_LEVELS, id_col="doc_id", token_col="n_words", weights=MIX_WEIGHTS, total_share=MIX_SHARE, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    held_out = F.pmod(crc32_of_id("doc_id"), F.lit(5)) == 0
+    model = toxicity.learn(docs, labels.filter(~held_out))
+    scored = toxicity.score(docs, model, ["doc_id"], "text")
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "distance")
+
+
 def op6_mpeg_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.round_trip(load(spark, sf_dir, "documents"), ["doc_id"], "text")
 
@@ -33,11 +58,19 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(load(spark, sf_dir, "pages"), urlfilter.rules_table(spark, URL_RULES))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held_out = F.pmod(crc32_of_id("doc_id"), F.lit(4)) == 2
+    model = langid.learn(docs, learnable=~held_out)
+    scored = langid.identify(docs, model, ["doc_id"], "text")
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe_encode_decode, op3_warc_content_addressed, op6_mpeg_transport_stream, op7_url_filter, op9_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe_encode_decode, op2_syncmer_fingerprints, op3_warc_content_addressed, op4_mixing, op5_toxicity, op6_mpeg_transport_stream, op7_url_filter, op8_language_id, op9_line_dedup)}
 
 _BASE32 = " || ".join(f"translate(to_base(('0x' || substr(h, {1 + 5 * i}, 5))::BIGINT, 32, 4), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')" for i in range(8))
 
