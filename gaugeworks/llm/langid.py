@@ -8,10 +8,11 @@ down to the uniform distribution. All languages share one sorted array of
 every language, and beside the sorted array of context hashes the backoff
 weights. A text's language is the one with the lowest cross-entropy a character.
 
-Rejection is calibrated on sampled documents that the counts left out: per
-language the mean cross-entropy and its spread, which shrinks with the length
-of a text. A text is rejected if it has no letter or if its best cross-entropy
-lies more than ``REJECT`` spreads above the mean of its language.
+Rejection is calibrated on sampled documents that the counts left out, and on
+the same documents with their letters shuffled, which have the language's
+letters but none of its order. A text is rejected if it has no letter or if its
+best cross-entropy lies past the middle between the two medians of its
+language, plus an allowance for short texts that shrinks as 1/sqrt(letters).
 
 Bounded sample (a classifier's): about ``SAMPLE_DOCS`` whole documents a
 language, drawn by a hash of the id. Languages' document counts cover all rows.
@@ -37,7 +38,8 @@ ORDER = 4
 SAMPLE_DOCS = 600
 #: Of the sampled documents, one in so many calibrates the rejection.
 CALIBRATE = 4
-REJECT = 8.0
+#: The allowance of a text of one letter, in nats.
+SHORT = 2.0
 #: Characters that a worker scores at a time.
 CHUNK = 1 << 20
 #: Characters of a text that the score's confidence counts at most.
@@ -107,8 +109,7 @@ class Model:
     weights: list[np.ndarray]  # interpolation weights
     vocabulary: int
     top: np.ndarray | None = None  # log probabilities of the top order's grams, interpolated
-    mean: np.ndarray | None = None
-    spread: np.ndarray | None = None
+    limit: np.ndarray | None = None  # cross-entropy past which a text is none of the language
 
     def log_probability(self, codes: np.ndarray) -> np.ndarray:
         """codes: rows of ORDER characters. The last one's log probability after the others, a column a language."""
@@ -252,21 +253,17 @@ def learn(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     return model
 
 
-def _spread(model: Model, letters: np.ndarray, k: np.ndarray) -> np.ndarray:
-    return model.spread[k] * (0.25 + 1 / np.sqrt(np.maximum(letters, 1)))
-
-
 def _calibrate(model: Model, texts: dict[str, list[str]]) -> None:
-    """Mean cross-entropy by language, and its spread in units of (1/4 + 1/sqrt(letters)); medians, so that stray texts don't count."""
-    model.mean, model.spread = np.zeros(len(model.languages)), np.ones(len(model.languages))
+    """The limit of each language: midway between the medians of its texts and of their shuffled letters."""
+    rng = np.random.default_rng(0)
+    model.limit = np.full(len(model.languages), np.log(model.vocabulary))
     for k, lang in enumerate(model.languages):
-        letters, h = model.cross_entropy(texts.get(lang, []))
-        letters, h = letters[letters > 0], h[letters > 0, k]
-        long = h[letters >= np.median(letters)] if len(h) else h
-        model.mean[k] = np.median(long) if len(h) else np.log(model.vocabulary)
-        if len(h) >= 8:
-            unit = np.abs(h - model.mean[k]) / (0.25 + 1 / np.sqrt(letters))
-            model.spread[k] = max(0.05, 1.4826 * np.median(unit))
+        own = texts.get(lang, [])
+        letters, h = model.cross_entropy(own)
+        at = np.flatnonzero(letters >= 20)
+        if len(at):
+            shuffled = ["".join(rng.permutation(list(own[i].lower()))) for i in at[:100].tolist()]
+            model.limit[k] = (np.median(h[at, k]) + np.median(model.cross_entropy(shuffled)[1][:, k])) / 2
 
 
 def predict(model: Model, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -278,7 +275,7 @@ def predict(model: Model, texts: Sequence[str | None]) -> tuple[list[str], np.nd
     lowest = h[np.arange(len(h)), best]
     odds = np.exp(-(h - lowest[:, None]) * np.clip(letters, 1, SCORE_CHARS)[:, None])
     score = np.where(letters > 0, 1 / odds.sum(axis=1), 0.0)
-    rejected = (letters == 0) | (lowest > model.mean[best] + REJECT * _spread(model, letters, best))
+    rejected = (letters == 0) | (lowest > model.limit[best] + SHORT / np.sqrt(np.maximum(letters, 1)))
     langs = [model.languages[k] if n else "und" for k, n in zip(best.tolist(), letters.tolist(), strict=True)]
     return langs, score, rejected, lowest
 

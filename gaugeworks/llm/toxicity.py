@@ -1,9 +1,9 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained: one on toxic, one on ordinary text. A
-window, a word with its blanks, is compressed with either after the same
-carrier bytes, which both dictionaries end with; the carrier costs one match,
-so the rest is the window's own length under that dictionary. A window's
+window, a word with its blanks, is compressed with either between the same
+carrier bytes, which both dictionaries end with; a carrier costs one match, so
+the rest is the window's own length under that dictionary. A window's
 distance is the bytes that the toxic dictionary saves over the ordinary one,
 as a share of the window's bytes. A document's is its largest, and a monotone
 calibration turns that into a score.
@@ -43,7 +43,7 @@ SAMPLE = {1: 2000, 0: 4000}
 CALIBRATE = 4
 GRAM = 5
 #: A gram is distinctive from so many contexts, so many standard deviations, and so many times the ordinary rate on.
-MIN_CONTEXTS, MIN_Z, MIN_RATIO = 8, 6.0, 40.0
+MIN_CONTEXTS, MIN_Z, MIN_RATIO = 5, 3.0, 40.0
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 14, 1 << 12
 LEVEL = 3
 #: Longer runs of letters are cut into windows of so many characters.
@@ -54,7 +54,8 @@ CACHE = 1 << 19
 DEFAULT_THRESHOLD = 0.35
 
 _WORD = re.compile(r"\w+")
-_CARRIER = hashlib.sha256(b"carrier").digest()
+#: Bytes before and after a window; zstandard looks for no match within an input's last eight bytes.
+_BEFORE, _AFTER = hashlib.sha256(b"before").digest(), hashlib.sha256(b"after").digest()
 
 
 def words_of(text: str) -> list[str]:
@@ -77,7 +78,7 @@ class Model:
 
         out = []
         for content in (self.ordinary, self.toxic):
-            held = zstandard.ZstdCompressionDict(content + _CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            held = zstandard.ZstdCompressionDict(content + _AFTER + _BEFORE, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(level=LEVEL)
             out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
         return tuple(out)
@@ -97,7 +98,7 @@ class Scorer:
 
     def word(self, word: str) -> float:
         window = f" {word} ".encode("utf-8", "replace")
-        data = _CARRIER + window
+        data = _BEFORE + window + _AFTER
         return (len(self.ordinary(data)) - len(self.toxic(data))) / len(window)
 
     def document(self, text: str | None) -> float:
@@ -187,26 +188,20 @@ def _dictionary(size: int, samples: list[bytes], segment: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def _monotone(distances: list[float], labels: list[int]) -> tuple[list[float], list[float]]:
-    """Pool adjacent violators over the calibration documents, each level drawn to its own rate."""
+def calibrate(distances: Sequence[float], labels: Sequence[int]) -> tuple[list[float], list[float]]:
+    """Points of a rising score: 0.5 at the threshold with the fewest errors (of equal ones, in the widest gap), the kinds' rates at the ends."""
     import numpy as np
 
-    x, inverse = np.unique(np.asarray(distances), return_inverse=True)
-    n = np.bincount(inverse).astype(float)
-    rate = np.bincount(inverse, weights=np.asarray(labels, float)) / n
-    blocks: list[list] = []  # mean, weight, first x, last x
-    for r, w, at in zip(rate, n, x, strict=True):
-        blocks.append([r, w, at, at])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            r2, w2, _, last = blocks.pop()
-            b = blocks[-1]
-            b[0], b[1], b[3] = (b[0] * b[1] + r2 * w2) / (b[1] + w2), b[1] + w2, last
-    points = []
-    for r, w, first, last in blocks:
-        r = (r * w + 0.05) / (w + 0.5)
-        points += [(first, r)] if first == last else [(first, r), (last, r)]
-    scores = np.maximum.accumulate([p[1] for p in points])
-    return [p[0] for p in points], scores.tolist()
+    order = np.argsort(distances, kind="stable")
+    x, y = np.asarray(distances, float)[order], np.asarray(labels)[order]
+    cuts = np.flatnonzero(np.diff(x) > 0) + 1  # documents below the threshold
+    errors = np.array([y[:c].sum() + (1 - y[c:]).sum() for c in cuts])
+    if not len(cuts) or errors.min() >= y.sum():  # distances tell nothing
+        return [0.0, DEFAULT_THRESHOLD, 1.0], [0.0, 0.5, 1.0]
+    best = max(cuts[errors == errors.min()], key=lambda c: x[c] - x[c - 1])
+    threshold = (x[best - 1] + x[best]) / 2
+    low, high = y[:best].mean(), y[best:].mean()
+    return [min(0.0, x[0]) - 1e-9, threshold, max(x[-1], threshold + 1e-6)], [float(min(low, 0.4)) / 2, 0.5, float(max(high, 0.6))]
 
 
 def fit(toxic: Sequence[str], ordinary: Sequence[str]) -> Model | None:
@@ -227,15 +222,7 @@ def fit(toxic: Sequence[str], ordinary: Sequence[str]) -> Model | None:
         left = [(scorer.document(t), label) for label, x in ((1, toxic), (0, ordinary)) for t in x[::CALIBRATE]]
         distances, labels = [d for d, _ in left], [y for _, y in left]
         if any(labels) and not all(labels):
-            distances, scores = _monotone(distances, labels)
-            if max(scores) >= 0.5 > min(scores):
-                # calibration points are sparse between the kinds: the step lies halfway between the last low and the first high one
-                high = next(i for i, s in enumerate(scores) if s >= 0.5)
-                if high and distances[high] - distances[high - 1] > 0.05:
-                    middle = (distances[high] + distances[high - 1]) / 2
-                    distances[high:high] = [middle - 1e-9, middle]
-                    scores[high:high] = [scores[high - 1], 0.5]
-                model.distances, model.scores = distances, scores
+            model.distances, model.scores = calibrate(distances, labels)
     return model
 
 
