@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linededup, mixing, mpegts, syncmers, toxicity, urlfilter, warc
+from . import bpe, langid, linededup, mixing, mpegts, neardup, syncmers, toxicity, urlfilter, warc
 from .common import crc32_of_id, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,7 +70,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe_encode_decode, op2_syncmer_fingerprints, op3_warc_content_addressed, op4_mixing, op5_toxicity, op6_mpeg_transport_stream, op7_url_filter, op8_language_id, op9_line_dedup)}
+def op10_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(load(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe_encode_decode, op2_syncmer_fingerprints, op3_warc_content_addressed, op4_mixing, op5_toxicity, op6_mpeg_transport_stream, op7_url_filter, op8_language_id, op9_line_dedup, op10_weighted_minhash)}
 
 _BASE32 = " || ".join(f"translate(to_base(('0x' || substr(h, {1 + 5 * i}, 5))::BIGINT, 32, 4), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')" for i in range(8))
 
