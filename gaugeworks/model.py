@@ -48,10 +48,10 @@ class SensorProfile:
 
     @property
     def period_ms(self) -> int:
-        """Milliseconds between samples: the reciprocal of a single-precision frequency, cut to whole ones."""
+        """Milliseconds between samples: the reciprocal of a frequency kept in single precision, cut to whole ones."""
         import numpy as np
 
-        return int(np.float32(1000) / np.float32(np.float32(1) / np.float32(self.period_s)))
+        return int(1000.0 / float(np.float32(1.0 / self.period_s)))
 
 
 # Type, base, amplitude, peak hour, noise, min, max, seconds a sample, shape, sensors per 100 m2, days kept.
