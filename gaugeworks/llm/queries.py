@@ -102,3 +102,34 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT dropped), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
 }
+
+
+def _mixing_sql() -> str:
+    """The tree is filled level by level: a child is full if the level of its ratio for all would stay within the parent's budget."""
+    number = "regexp_extract(source, '([0-9]{1,9})$', 1)"
+    same = lambda a, b, names: " AND ".join(f"{a}.{n} IS NOT DISTINCT FROM {b}.{n}" for n in names)
+    ctes = [
+        f"""d AS (SELECT doc_id, CASE WHEN coalesce({number}, '') = '' THEN 'other' ELSE 'd' || ({number}::INT % 4) END AS domain, lang, source,
+            len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) AS tokens FROM documents)""",
+        f"leaves AS (SELECT domain, lang, source, sum(tokens)::DOUBLE AS tokens, sum(tokens)::DOUBLE * {float(MIX_EPOCHS)} AS capacity FROM d WHERE tokens > 0 GROUP BY ALL)",
+        f"n0 AS (SELECT *, least((SELECT sum(tokens) FROM leaves) * {MIX_SHARE}, (SELECT sum(capacity) FROM leaves)) AS budget FROM leaves)",
+    ]
+    for level, name in enumerate(MIX_LEVELS):
+        here, above = MIX_LEVELS[: level + 1], MIX_LEVELS[:level]
+        cases = "".join(f" WHEN {name} = '{p[-1]}' THEN {float(w)}" for p, w in MIX_WEIGHTS.items() if len(p) == level + 1)
+        family = f"PARTITION BY {', '.join(above)}" if above else ""
+        ctes += [
+            f"c{level} AS (SELECT {', '.join(here)}, sum(capacity) AS c, first(budget) AS parent, {f'CASE{cases} ELSE 1.0 END::DOUBLE' if cases else '1.0::DOUBLE'} AS w FROM n{level} GROUP BY {', '.join(here)})",
+            f"f{level} AS (SELECT *, sum(c) OVER ({family} ORDER BY c / w) + (sum(w) OVER ({family}) - sum(w) OVER ({family} ORDER BY c / w)) * (c / w) <= parent AS is_full FROM c{level})",
+            f"s{level} AS (SELECT *, CASE WHEN is_full THEN c ELSE (parent - sum(CASE WHEN is_full THEN c ELSE 0.0 END) OVER ({family})) / sum(CASE WHEN is_full THEN 0.0 ELSE w END) OVER ({family}) * w END AS share FROM f{level})",
+            f"n{level + 1} AS (SELECT n{level}.* EXCLUDE (budget), s{level}.share AS budget FROM n{level} JOIN s{level} ON {same(f'n{level}', f's{level}', here)})",
+        ]
+    ctes += [
+        "plan AS (SELECT domain, lang, source, floor(budget / tokens)::BIGINT AS whole, budget - floor(budget / tokens) * tokens AS rest FROM n3)",
+        f"keyed AS (SELECT d.*, whole, rest, md5('{MIX_SEED}:' || whole || ':' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM d JOIN plan ON {same('d', 'plan', MIX_LEVELS)} WHERE tokens > 0)",
+        "placed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) AS so_far FROM keyed)",
+    ]
+    return f"WITH {', '.join(ctes)} SELECT doc_id, domain, lang, source, tokens, whole + CASE WHEN so_far <= rest THEN 1 ELSE 0 END AS epochs FROM placed WHERE whole + CASE WHEN so_far <= rest THEN 1 ELSE 0 END > 0"
+
+
+ORACLE_SQL["op4_mixing"] = _mixing_sql()
