@@ -68,3 +68,24 @@ def test_pipeline_against_brute_force(spark, tmp_path):
             assert {i: r.ids for i, r in after.items()} == {i: brute.encode(r.text, add_special_tokens=False).ids for i, r in before.items()}
     ran = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id: r.ids for r in ran.collect()} == {i: r.ids for i, r in held["encode"][1].items()}
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_keep_clashing_columns_and_bear_nulls(spark, tmp_path):
+    rows = [(i, f"the same words in every text but one {i} " * (1 + i % 3), "en", "src1", 1, i, "k", [0.5], f"x{i}") for i in range(30)]
+    rows += [(None, "no identifier but words of its own in here", None, None, None, None, None, None, None), rows[3], rows[3], (99, None, None, None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _c0 long, key string, features array<double>, _id string"
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(f"{tmp_path}/in")
+    docs = spark.read.parquet(f"{tmp_path}/in")
+    known = {r[5]: r for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == [c.split(" ")[0] for c in schema.split(", ")]
+        for r in docs.collect():
+            assert (r["key"], r["features"], r["_id"]) == known[r["_c0"]][6:9]
