@@ -418,7 +418,8 @@ def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(features, pa.binary()), pa.array(weights, pa.binary()), pa.array([len(w) for w in weights], pa.int64())], names=["root", "key", "features", "weights", "n"])
 
     named = groups.select("root", F.col("node").alias("key"))
-    vectors = units.join(named, "key").select("root", "key", "text").mapInArrow(vectorise, "root binary, key binary, features binary, weights binary, n long")
+    # merged at every size: the candidates grow with the corpus, so they are never broadcast
+    vectors = units.join(named.hint("shuffle_merge"), "key").select("root", "key", "text").mapInArrow(vectorise, "root binary, key binary, features binary, weights binary, n long")
     vectors = materialise(vectors, "vectors")
     sizes = vectors.groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
     blocks = F.ceil(F.greatest(F.col("texts") / BLOCK, F.col("n") / BLOCK_FEATURES)).cast("long")
