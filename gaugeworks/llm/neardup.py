@@ -46,7 +46,9 @@ COMMON, IDF_FLOOR = 0.1, 0.75
 #: Weights are whole multiples of 1 / UNIT.
 UNIT = 64
 #: Texts and shingles of a group that one task compares.
-BLOCK, BLOCK_FEATURES = 2048, 4_000_000
+BLOCK, BLOCK_FEATURES = 4096, 4_000_000
+#: Texts that hold a feature for it to be compared by pairs; rows compared at a time.
+FEW, ROW_BLOCK = 24, 512
 #: Rows of the tables from which a shingle draws its random numbers.
 TABLE_BITS = 13
 #: Shingles whose samples are drawn at a time.
@@ -232,43 +234,48 @@ def links(features: list[np.ndarray], weights: list[np.ndarray], pivots: int) ->
     """
     m = len(features)
     size = np.array([w.sum(dtype=np.int64) for w in weights])
+    exact = np.float64 if size.max(initial=0) >= 1 << 23 else np.float32  # whole numbers stay whole
     text = np.repeat(np.arange(m), [len(f) for f in features])
     flat, inverse, times = np.unique(np.concatenate(features), return_inverse=True, return_counts=True)
     weight = np.zeros(len(flat), np.int64)
     weight[inverse] = np.concatenate(weights)
-    shared = np.zeros((pivots, m), np.float64 if size.max(initial=0) >= 1 << 23 else np.float32)
-
-    few = (times > 1) & (times <= 24)
-    keep = few[inverse]
-    order = np.argsort(inverse[keep], kind="stable")
-    f, t = inverse[keep][order], text[keep][order]  # by feature, texts ascending
-    first = np.flatnonzero(np.diff(f, prepend=-1))
-    left = np.append(first[1:], len(f)) if len(f) else first
-    ends = np.repeat(left, np.diff(np.append(first, len(f)))) if len(f) else left
-    for step in range(1, 24):
-        at = np.flatnonzero(np.arange(len(f)) + step < ends)
+    order = np.argsort(inverse, kind="stable")  # by feature, texts ascending
+    feature, text = inverse[order], text[order]
+
+    few = (times > 1) & (times <= FEW)
+    keep = few[feature]
+    f, t = feature[keep], text[keep]
+    ends = np.searchsorted(f, f, side="right")
+    rare = [np.zeros((3, 0), np.int64)]
+    for step in range(1, FEW):
+        at = np.flatnonzero((np.arange(len(f)) + step < ends) & (t < pivots))
         if not len(at):
             break
-        at = at[t[at] < pivots]
-        np.add.at(shared, (t[at], t[at + step]), weight[f[at]])
-    many = np.flatnonzero(times > 24)
-    if len(many):
-        column = np.full(len(flat), -1)
-        column[many] = np.arange(len(many))
-        own = column[inverse]
-        keep = own >= 0
-        rows, columns = text[keep], own[keep]
-        order = np.argsort(columns, kind="stable")
-        rows, columns = rows[order], columns[order]
+        rare.append(np.stack([t[at], t[at + step], weight[f[at]]]))
+    rare = np.concatenate(rare, axis=1)
+    rare = rare[:, np.argsort(rare[0], kind="stable")]
+
+    many = np.flatnonzero(times > FEW)
+    column = np.full(len(flat), -1)
+    column[many] = np.arange(len(many))
+    keep = column[feature] >= 0
+    columns, rows = column[feature[keep]], text[keep]
+
+    found = []
+    for low in range(0, pivots, ROW_BLOCK):
+        high = min(low + ROW_BLOCK, pivots)
+        a, b = np.searchsorted(rare[0], [low, high])
+        shared = np.bincount((rare[0, a:b] - low) * m + rare[1, a:b], weights=rare[2, a:b], minlength=(high - low) * m).astype(exact).reshape(high - low, m)
         for at in range(0, len(many), 1024):
             a, b = np.searchsorted(columns, [at, at + 1024])
-            x = np.zeros((m, min(1024, len(many) - at)), shared.dtype)
+            x = np.zeros((m, min(1024, len(many) - at)), exact)
             x[rows[a:b], columns[a:b] - at] = 1
-            shared += (x[:pivots] * weight[many[at : at + 1024]].astype(shared.dtype)) @ x.T
-    union = size[:pivots, None] + size[None, :] - shared
-    linked = shared * SIMILARITY[1] >= union * SIMILARITY[0]
-    linked &= np.arange(m)[None, :] > np.arange(pivots)[:, None]
-    return np.argwhere(linked)
+            shared += (x[low:high] * weight[many[at : at + 1024]].astype(exact)) @ x.T
+        union = size[low:high, None] + size[None, :] - shared
+        linked = shared * SIMILARITY[1] >= union * SIMILARITY[0]
+        linked &= np.arange(m)[None, :] > np.arange(low, high)[:, None]
+        found.append(np.argwhere(linked) + [low, 0])
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
 def spanning(pairs: np.ndarray, m: int) -> list[tuple[int, int]]:
