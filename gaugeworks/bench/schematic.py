@@ -7,6 +7,8 @@ import html
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import project
+
 # Panel size, margin, least extent and its padding.
 PANEL_W, PANEL_H, MARGIN, LEAST_SPAN, PAD = 900.0, 420.0, 50.0, 1.0, 5.0
 COLORS = {"temperature": "#f87171", "humidity": "#60a5fa", "co2": "#a78bfa"}
@@ -28,8 +30,8 @@ def points(sensors: DataFrame, locations: DataFrame, elements: DataFrame, zones:
     pad = lambda c: F.when(F.max(c) - F.min(c) < LEAST_SPAN, PAD).otherwise(0.0)
     bounds = rows.groupBy("floor_id").agg(*[f(c).alias(n) for c in "xy" for f, n in ((lambda v: F.min(v) - pad(v), f"low_{c}"), (lambda v: F.max(v) + pad(v), f"high_{c}"))])
     rows = rows.join(bounds, "floor_id")
-    px = MARGIN + (F.col("x") - F.col("low_x")) / (F.col("high_x") - F.col("low_x")) * (PANEL_W - 2 * MARGIN)
-    py = MARGIN + (F.col("y") - F.col("low_y")) / (F.col("high_y") - F.col("low_y")) * (PANEL_H - 2 * MARGIN)
+    px = project(F.col("x"), F.col("low_x"), F.col("high_x"), PANEL_W, MARGIN)
+    py = project(F.col("y"), F.col("low_y"), F.col("high_y"), PANEL_H, MARGIN)
     return rows.select("kind", "label", "floor_id", "x", "y", px.alias("px"), py.alias("py"))
 
 

@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset, as on one machine."""
+    """The folder that the driver and all executors share.
+
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
+    (tests on one machine) a temporary folder takes its place.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="gaugeworks-")
@@ -18,8 +22,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/gaugeworks/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path among this application's tables."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write and read back: iterations keep a short plan, and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/gaugeworks/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's tables; DataFrames that still read them fail from then on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

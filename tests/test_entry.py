@@ -21,3 +21,12 @@ def test_the_rest_works_without_the_training_data_operators(tmp_path):
             (tmp_path / part).write_text(path.read_text())
     code = "import __spark_entry__ as e; q = e.queries(); assert 'latest_single' in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) == set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from gaugeworks.storage import _own_dir, clear, cut
+
+    df = cut(spark.range(5), "numbers")
+    assert df.count() == 5 and _own_dir(spark) in df.inputFiles()[0]
+    clear(spark)
+    assert not Path(_own_dir(spark)).exists()
