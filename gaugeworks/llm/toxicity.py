@@ -42,8 +42,8 @@ from .common import text_or_empty
 SAMPLE = {1: 2000, 0: 4000}
 CALIBRATE = 4
 GRAM = 5
-#: A gram is distinctive from so many contexts, so many standard deviations, and so many times the ordinary rate on.
-MIN_CONTEXTS, MIN_Z, MIN_RATIO = 5, 3.0, 40.0
+#: A gram is distinctive from so many contexts, so many standard deviations, and so many times the ordinary rate on. Of the ratios, the calibration documents choose the one with the fewest errors, the first of equal ones.
+MIN_CONTEXTS, MIN_Z, MIN_RATIOS = 5, 3.0, (40.0, 10.0, 5.0)
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 14, 1 << 12
 LEVEL = 3
 #: Longer runs of letters are cut into windows of so many characters.
@@ -135,7 +135,8 @@ def _contexts(texts: Sequence[str], vocabulary: dict[str, int]):
     return both[1][np.unique(both[0], return_index=True)[1]].astype(np.int64)
 
 
-def distinctive(toxic: Sequence[str], ordinary: Sequence[str]) -> set[str]:
+def distinctive(toxic: Sequence[str], ordinary: Sequence[str]) -> list[tuple[float, set[str]]]:
+    """Distinctive grams by each of MIN_RATIOS, sets that repeat the one before left out."""
     import numpy as np
 
     vocabulary: dict[str, int] = {}
@@ -150,13 +151,18 @@ def distinctive(toxic: Sequence[str], ordinary: Sequence[str]) -> set[str]:
             c[0] += a
             c[1] += b
     totals = [max(1, sum(c[k] for c in counts.values())) for k in (0, 1)]
-    out = set()
+    ratios: dict[str, float] = {}
     for g, (a, b) in counts.items():
         if a >= MIN_CONTEXTS:
             share = (a + b) / sum(totals)
             z = (a / totals[0] - b / totals[1]) / math.sqrt(share * (1 / totals[0] + 1 / totals[1]))
-            if z >= MIN_Z and (a + 0.5) / totals[0] >= MIN_RATIO * (b + 0.5) / totals[1]:
-                out.add(g)
+            if z >= MIN_Z:
+                ratios[g] = (a + 0.5) / totals[0] / ((b + 0.5) / totals[1])
+    out: list[tuple[float, set[str]]] = []
+    for least in MIN_RATIOS:
+        grams = {g for g, r in ratios.items() if r >= least}
+        if grams and (not out or grams != out[-1][1]):
+            out.append((least, grams))
     return out
 
 
@@ -188,8 +194,8 @@ def _dictionary(size: int, samples: list[bytes], segment: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def calibrate(distances: Sequence[float], labels: Sequence[int]) -> tuple[list[float], list[float]]:
-    """Points of a rising score: 0.5 at the threshold with the fewest errors (of equal ones, in the widest gap), the kinds' rates at the ends."""
+def calibrate(distances: Sequence[float], labels: Sequence[int]) -> tuple[list[float], list[float], int]:
+    """Points of a rising score: 0.5 at the threshold with the fewest errors (of equal ones, in the widest gap), the kinds' rates at the ends. And how many errors."""
     import numpy as np
 
     order = np.argsort(distances, kind="stable")
@@ -197,11 +203,11 @@ def calibrate(distances: Sequence[float], labels: Sequence[int]) -> tuple[list[f
     cuts = np.flatnonzero(np.diff(x) > 0) + 1  # documents below the threshold
     errors = np.array([y[:c].sum() + (1 - y[c:]).sum() for c in cuts])
     if not len(cuts) or errors.min() >= y.sum():  # distances tell nothing
-        return [0.0, DEFAULT_THRESHOLD, 1.0], [0.0, 0.5, 1.0]
+        return [0.0, DEFAULT_THRESHOLD, 1.0], [0.0, 0.5, 1.0], int(y.sum())
     best = max(cuts[errors == errors.min()], key=lambda c: x[c] - x[c - 1])
     threshold = (x[best - 1] + x[best]) / 2
     low, high = y[:best].mean(), y[best:].mean()
-    return [min(0.0, x[0]) - 1e-9, threshold, max(x[-1], threshold + 1e-6)], [float(min(low, 0.4)) / 2, 0.5, float(max(high, 0.6))]
+    return [min(0.0, x[0]) - 1e-9, threshold, max(x[-1], threshold + 1e-6)], [float(min(low, 0.4)) / 2, 0.5, float(max(high, 0.6))], int(errors.min())
 
 
 def fit(toxic: Sequence[str], ordinary: Sequence[str]) -> Model | None:
@@ -210,20 +216,20 @@ def fit(toxic: Sequence[str], ordinary: Sequence[str]) -> Model | None:
         return None
     few = len(toxic) < 4 * CALIBRATE or len(ordinary) < 4 * CALIBRATE
     learn = [toxic, ordinary] if few else [[t for i, t in enumerate(x) if i % CALIBRATE] for x in (toxic, ordinary)]
-    grams = distinctive(*learn)
-    marked = ["".join(spans(t, grams)).encode() for t in learn[0]]
-    if not any(marked):
-        return None
     plain = [" ".join(w[i : i + 8]).encode() for t in learn[1] for w in [words_of(t)] for i in range(0, len(w), 8)]
-    step = max(1, len(plain) // 40_000)
-    model = Model(_dictionary(TOXIC_BYTES, marked, 32), _dictionary(ORDINARY_BYTES, plain[::step], 64), [0.0, DEFAULT_THRESHOLD - 0.01, DEFAULT_THRESHOLD, 1.0], [0.05, 0.3, 0.7, 0.95])
-    if not few:
+    common = _dictionary(ORDINARY_BYTES, plain[:: max(1, len(plain) // 40_000)], 64)
+    best, fewest = None, math.inf
+    for _, grams in distinctive(*learn):
+        marked = ["".join(spans(t, grams)).encode() for t in learn[0]]
+        model = Model(_dictionary(TOXIC_BYTES, marked, 32), common, [0.0, DEFAULT_THRESHOLD - 0.01, DEFAULT_THRESHOLD, 1.0], [0.05, 0.3, 0.7, 0.95])
+        if few:
+            return model
         scorer = Scorer(model)
         left = [(scorer.document(t), label) for label, x in ((1, toxic), (0, ordinary)) for t in x[::CALIBRATE]]
-        distances, labels = [d for d, _ in left], [y for _, y in left]
-        if any(labels) and not all(labels):
-            model.distances, model.scores = calibrate(distances, labels)
-    return model
+        model.distances, model.scores, errors = calibrate([d for d, _ in left], [y for _, y in left])
+        if errors < fewest:
+            best, fewest = model, errors
+    return best
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:

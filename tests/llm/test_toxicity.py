@@ -46,6 +46,6 @@ def test_few_labels_still_learn():
 
 
 def test_calibration_rises():
-    x, y = toxicity.calibrate([0.0, 0.1, 0.1, 0.6, 0.7, 0.2], [0, 0, 0, 1, 1, 0])
-    assert x[1] == 0.4 and y[1] == 0.5 and y[0] < 0.5 < y[2]
+    x, y, errors = toxicity.calibrate([0.0, 0.1, 0.1, 0.6, 0.7, 0.2], [0, 0, 0, 1, 1, 0])
+    assert x[1] == 0.4 and y[1] == 0.5 and y[0] < 0.5 < y[2] and errors == 0
     assert toxicity.calibrate([0.1, 0.1], [0, 1])[0][1] == toxicity.DEFAULT_THRESHOLD
