@@ -37,6 +37,8 @@ MIN_CHARS = 10
 BITS, PROBES, SEGMENT = 16, 4, 1 << 23
 #: A twice-seen filter up to this size is broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Shares in which a repeated line's documents meet it.
+SALTS = 8
 #: Keys that a task gathers before it hands on a partial filter.
 FLUSH = 1 << 20
 
@@ -212,8 +214,12 @@ def repeats(docs: DataFrame, *, min_chars: int = MIN_CHARS, broadcast_bytes: int
     segments = max(1, -(-lines * BITS // SEGMENT))
     filters = materialise(twice_seen(docs, segments, min_chars), "twice-seen")
     suspects = materialise(_suspects(docs, filters, segments, broadcast_bytes, min_chars), "suspects")
-    confirmed = suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("key", "first")
-    lost = suspects.join(confirmed, "key").filter("id > first")
+    confirmed = suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    # a hot line's documents meet it in salted shares, for which its digest stands
+    digest = F.unhex(F.sha2("key", 256)).alias("digest")
+    confirmed = confirmed.select(digest, "first", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
+    suspects = suspects.select("id", "key", digest, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    lost = suspects.join(confirmed, ["digest", "salt"]).filter("id > first")
     return lost.groupBy("id").agg(F.collect_set("key").alias("keys"))
 
 
