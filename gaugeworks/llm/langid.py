@@ -207,7 +207,7 @@ def learn(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         return None
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample_docs / n)))])
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.filter(draw < share[F.col("lang")])
+    sample = rows.filter(draw < share[F.col("lang")]).distinct()  # rows that repeat count once
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Every n-gram's count by language; a document in CALIBRATE is passed on whole instead."""

@@ -18,7 +18,8 @@ kind, drawn by a hash of the id; one in ``CALIBRATE`` of them is left out of the
 dictionaries and calibrates the scores.
 
 Defined results: null and empty texts have distance 0; repeated rows each give
-their row, and conflicting labels of one id each count; without toxic or without
+their row, but of an id's texts only the smallest is learned from, once for each
+of its labels; without toxic or without
 ordinary labels all scores are 0; nothing but the id columns and text is read
 for a score.
 """
@@ -234,13 +235,13 @@ def fit(toxic: Sequence[str], ordinary: Sequence[str]) -> Model | None:
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """labels: id and a label of 0 or 1; other labels and null ids are left out. Only the sample, of bounded size, is broadcast and comes to the driver."""
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").distinct()
     sizes = {r.label: r.n for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("label") == 1, min(1.0, SAMPLE[1] / sizes.get(1, 1))).otherwise(min(1.0, SAMPLE[0] / sizes.get(0, 1)))
     draw = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = marked.filter(draw < share).withColumn("draw", draw)
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "id").select("draw", "id", "label", "text").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["draw"], str(r["id"]), r["text"]))
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "id").groupBy("draw", "id", "label").agg(F.min("text").alias("text")).toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["draw"], str(r["id"]), r["label"]))
     return fit([r["text"] for r in rows if r["label"] == 1], [r["text"] for r in rows if r["label"] == 0])
 
 
