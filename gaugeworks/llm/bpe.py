@@ -32,6 +32,8 @@ from .common import text_or_empty
 
 #: Runs of so many characters without a cut are encoded as a tree.
 LEAF_CHARS = 4096
+#: Texts whose tokens a worker holds at a time.
+SLICE = 256
 
 #: Fixed value: the pattern by which byte-level BPE cuts text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -124,7 +126,11 @@ def _result(codec: Codec, ids: list[int], outputs: bool) -> dict:
     listed = ",".join(map(codec.decimal.__getitem__, ids))
     decoded = codec.decode(ids)
     row = {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(listed.encode()).hexdigest(), "decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest()}
-    return row | ({"ids": ids, "decoded": decoded} if outputs else {})
+    if outputs:
+        import numpy as np
+
+        row |= {"ids": np.asarray(ids, np.int32), "decoded": decoded}
+    return row
 
 
 def _out_schema(df: DataFrame, id_cols: Sequence[str], outputs: bool) -> T.StructType:
@@ -164,8 +170,10 @@ def encode_decode(df: DataFrame, id_cols: Sequence[str], text_col: str, tokenize
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(definition)
         for batch in batches:
-            found = [_result(codec, codec.encode(t), outputs) for t in batch.column(len(id_cols)).to_pylist()]
-            yield _batch(arrow, batch, found, id_cols)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = [_result(codec, codec.encode(t), outputs) for t in part.column(len(id_cols)).to_pylist()]
+                yield _batch(arrow, part, found, id_cols)
 
     short = rows.filter(~F.col("_unsplit")).drop("_unsplit").mapInArrow(whole, schema)
     return short.unionByName(_encode_unsplit(rows.filter("_unsplit").drop("_unsplit"), len(id_cols), definition, schema, outputs, leaf_chars))
