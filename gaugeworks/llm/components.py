@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Shares in which a hub's edges meet its smallest neighbour.
+SALTS = 8
+
 
 def _stars(edges: DataFrame) -> bool:
     """Does every node hang on one root, and no root on another?"""
@@ -15,6 +18,12 @@ def _stars(edges: DataFrame) -> bool:
     return seen.filter("up > 1 or (up = 1 and down = 1)").isEmpty()
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the smallest neighbour ``m`` of their a; a hub's edges are dealt out."""
+    least = least.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least, ["a", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """edges: a, b. Rows of node, root for every node that has an edge to another; root is the smallest node.
 
@@ -27,9 +36,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a"), F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        large = _with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
+        small = _with_least(large, least).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         edges = materialise(small, name)
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
