@@ -164,7 +164,8 @@ def encode_decode(df: DataFrame, id_cols: Sequence[str], text_col: str, tokenize
     schema = _out_schema(df, id_cols, outputs)
     arrow = _arrow(schema)
     text = text_or_empty(text_col)
-    unsplit = (F.length(text) >= leaf_chars) & F.rlike(text, F.lit(rf"(?U)\S{{{leaf_chars}}}|\s{{{leaf_chars}}}"))
+    # looked for from the starts of runs only, so that the search is linear
+    unsplit = (F.length(text) >= leaf_chars) & F.rlike(text, F.lit(rf"(?U)(?<!\S)\S{{{leaf_chars}}}|(?<!\s)\s{{{leaf_chars}}}"))
     rows = df.select(*[F.col(c).alias(f"_id{i}") for i, c in enumerate(id_cols)], text.alias("_text"), unsplit.alias("_unsplit"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
