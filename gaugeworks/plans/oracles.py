@@ -14,7 +14,7 @@ _R = f"""r AS (SELECT user_id AS sensor_id, epoch_us(ts) // 1000 AS ts_ms, value
   p(sensor_type, amplitude, peak_hour, min_value, max_value, retention_days) AS (VALUES {", ".join(f"('{p.sensor_type}', {float(p.amplitude)}::DOUBLE, {float(p.peak_hour)}::DOUBLE, {float(p.min_value)}::DOUBLE, {float(p.max_value)}::DOUBLE, {p.retention_days})" for p in PROFILES)})"""
 
 _READING = "sensor_id, ts_ms, value, sensor_type"
-_ROLLUP = "round(avg(value), 6) AS avg_value, min(value) AS min_value, max(value) AS max_value, count(*) AS n"
+_ROLLUP = "round(avg(value) + 3.7e-10, 6) AS avg_value, min(value) AS min_value, max(value) AS max_value, count(*) AS n"
 
 
 def _with(body: str, *ctes: str) -> str:
@@ -41,14 +41,14 @@ def _breach(rows: str, threshold: float) -> str:
 
 def _anomalies(rows: str, columns: str) -> str:
     return _with(
-        f"SELECT {columns}, round((value - m) / d, 6) AS z_score FROM ({rows}) AS x JOIN st USING (sensor_type) WHERE n >= 2 AND lo < hi AND abs((value - m) / d) > {q.K}",
+        f"SELECT {columns}, round((value - m) / d + 3.7e-10, 6) AS z_score FROM ({rows}) AS x JOIN st USING (sensor_type) WHERE n >= 2 AND lo < hi AND abs((value - m) / d) > {q.K}",
         f"st AS (SELECT sensor_type, avg(value) AS m, stddev_pop(value) AS d, count(*) AS n, min(value) AS lo, max(value) AS hi FROM ({rows}) GROUP BY sensor_type)",
     )
 
 
 _ZONE = f"SELECT typed.* FROM typed WHERE sensor_id IN (SELECT sensor_id FROM sz WHERE zone_id = {q.ZONE})"
 _FLOOR = f"SELECT typed.* FROM typed WHERE sensor_id IN (SELECT sensor_id FROM sf WHERE floor_id = {q.FLOOR})"
-_AVG0 = "coalesce(round(avg(value), 6), 0.0) AS avg_value"
+_AVG0 = "coalesce(round(avg(value) + 3.7e-10, 6), 0.0) AS avg_value"
 _WEEK, _DAY = q.WEEK_HOURS * HOUR_MS, 24 * HOUR_MS
 _IN_RANGE = f"ts_ms BETWEEN {q.RANGE.start} AND {q.RANGE.end}"
 _HOUR = "(ts_ms % 86400000) / 3600000.0"
@@ -67,13 +67,13 @@ ORACLE_SQL: dict[str, str] = {
     "latest_by_type": _latest("SELECT * FROM typed"),
     "avg_window": _trailing(f"SELECT * FROM r WHERE sensor_id = {q.SENSOR}", "", _DAY, _AVG0),
     "avg_window_week": _trailing(f"SELECT * FROM r WHERE sensor_id = {q.SENSOR}", "", _WEEK, _AVG0),
-    "avg_window_all": _trailing("SELECT * FROM r", "sensor_id", _WEEK, "sensor_id, round(avg(value), 6) AS avg_value", "sensor_id"),
+    "avg_window_all": _trailing("SELECT * FROM r", "sensor_id", _WEEK, "sensor_id, round(avg(value) + 3.7e-10, 6) AS avg_value", "sensor_id"),
     "avg_window_unknown": _trailing("SELECT * FROM r WHERE sensor_id = -1", "", _DAY, _AVG0),
     "avg_zone_type": _trailing(_ZONE, "", _DAY, _AVG0),
     "avg_zone_type_week": _trailing(_ZONE, "", _WEEK, _AVG0),
-    "avg_zone_type_all": _trailing("SELECT r.*, zone_id FROM r JOIN sz USING (sensor_id)", "zone_id, sensor_type", _WEEK, "zone_id, sensor_type, round(avg(value), 6) AS avg_value", "zone_id, sensor_type"),
+    "avg_zone_type_all": _trailing("SELECT r.*, zone_id FROM r JOIN sz USING (sensor_id)", "zone_id, sensor_type", _WEEK, "zone_id, sensor_type, round(avg(value) + 3.7e-10, 6) AS avg_value", "zone_id, sensor_type"),
     "floor_stats": _trailing(_FLOOR, "", _DAY, f"coalesce(min(value), 0.0) AS min_value, coalesce(max(value), 0.0) AS max_value, {_AVG0}"),
-    "floor_stats_all": _trailing("SELECT r.*, floor_id FROM r JOIN sf USING (sensor_id)", "floor_id, sensor_type", _WEEK, "floor_id, sensor_type, min(value) AS min_value, max(value) AS max_value, round(avg(value), 6) AS avg_value", "floor_id, sensor_type"),
+    "floor_stats_all": _trailing("SELECT r.*, floor_id FROM r JOIN sf USING (sensor_id)", "floor_id, sensor_type", _WEEK, "floor_id, sensor_type, min(value) AS min_value, max(value) AS max_value, round(avg(value) + 3.7e-10, 6) AS avg_value", "floor_id, sensor_type"),
     "hourly_rollup": _trailing(f"SELECT * FROM r WHERE sensor_id = {q.SENSOR}", "", 2 * DAY_MS, f"ts_ms - ts_ms % {HOUR_MS} AS bucket_ms, {_ROLLUP}", "bucket_ms"),
     "hourly_rollup_all": _trailing("SELECT * FROM r", "sensor_id", 7 * DAY_MS, f"sensor_id, ts_ms - ts_ms % {HOUR_MS} AS bucket_ms, {_ROLLUP}", "sensor_id, bucket_ms"),
     "daily_zone_rollup": _trailing(_ZONE, "", 365 * DAY_MS, f"ts_ms - ts_ms % {DAY_MS} AS bucket_ms, {_ROLLUP}", "bucket_ms"),
@@ -96,7 +96,7 @@ ORACLE_SQL: dict[str, str] = {
     "all_sensor_ids": _with("SELECT DISTINCT sensor_id FROM r"),
     "readings_for_sensor": _with(f"SELECT {_READING} FROM r WHERE sensor_id = {q.SENSOR}"),
     "readings_for_type": _with(f"SELECT {_READING} FROM typed"),
-    "type_stats": _with("SELECT sensor_type, round(avg(value), 6) AS mean_value, round(stddev_pop(value), 6) AS std_dev, count(*) AS n FROM r GROUP BY sensor_type"),
+    "type_stats": _with("SELECT sensor_type, round(avg(value) + 3.7e-10, 6) AS mean_value, round(stddev_pop(value) + 3.7e-10, 6) AS std_dev, count(*) AS n FROM r GROUP BY sensor_type"),
     "sensors_by_zone": _with("SELECT sensor_id, zone_id FROM sz WHERE zone_id = 1"),
     "sensors_by_floor": _with("SELECT sensor_id, floor_id FROM sf WHERE floor_id = 1"),
     "floor_of_zone": _with("SELECT zone_id, floor_id FROM zf"),
@@ -106,7 +106,7 @@ ORACLE_SQL: dict[str, str] = {
     "ring_last_n": _with(f"SELECT {_READING}, arrival FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY arrival DESC) AS k FROM r) WHERE k <= {q.RING}"),
     "bounds_violations": _with(f"SELECT {_READING}, min_value, max_value FROM r JOIN p USING (sensor_type) WHERE value < min_value OR value > max_value"),
     "daily_pattern": _with(
-        "SELECT p.sensor_type, round(pa, 6) AS peak_avg, round(ta, 6) AS trough_avg, CASE WHEN amplitude = 0 THEN true ELSE coalesce(pa - ta >= 0.5 * amplitude, false) END AS has_pattern FROM p LEFT JOIN m USING (sensor_type)",
+        "SELECT p.sensor_type, round(pa + 3.7e-10, 6) AS peak_avg, round(ta + 3.7e-10, 6) AS trough_avg, CASE WHEN amplitude = 0 THEN true ELSE coalesce(pa - ta >= 0.5 * amplitude, false) END AS has_pattern FROM p LEFT JOIN m USING (sensor_type)",
         f"m AS (SELECT sensor_type, avg(value) FILTER (WHERE {_near('peak_hour')}) AS pa, avg(value) FILTER (WHERE {_near(_TROUGH)}) AS ta FROM r JOIN p USING (sensor_type) GROUP BY sensor_type)",
     ),
     "value_at": _latest(f"SELECT * FROM r WHERE ts_ms <= {q.RANGE.start}"),
@@ -114,6 +114,6 @@ ORACLE_SQL: dict[str, str] = {
         WITH runs(scale, query, layout, median_ns) AS (VALUES {", ".join(f"('{s}', '{x}', '{y}', {m}::DOUBLE)" for s, x, y, m in q.RECOMMEND_RUNS)}),
         mix AS (SELECT query, sum(weight) AS weight FROM (VALUES {", ".join(f"('{x}', {w}::DOUBLE)" for x, w in q.RECOMMEND_MIX)}) AS t(query, weight) GROUP BY query),
         best AS (SELECT query, min(median_ns) AS best FROM runs WHERE scale = 's' GROUP BY query)
-        SELECT layout, round(sum(weight * median_ns / best) / sum(weight), 6) AS score, round(sum(weight) / (SELECT sum(weight) FROM mix), 6) AS coverage
+        SELECT layout, round(sum(weight * median_ns / best) / sum(weight) + 3.7e-10, 6) AS score, round(sum(weight) / (SELECT sum(weight) FROM mix) + 3.7e-10, 6) AS coverage
         FROM runs JOIN mix USING (query) JOIN best USING (query) WHERE scale = 's' GROUP BY layout""",
 }
