@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import lean, text_or_empty
 
 #: Runs of so many characters without a cut are encoded as a tree.
 LEAF_CHARS = 4096
@@ -176,7 +176,7 @@ def encode_decode(df: DataFrame, id_cols: Sequence[str], text_col: str, tokenize
                 found = [_result(codec, codec.encode(t), outputs) for t in part.column(len(id_cols)).to_pylist()]
                 yield _batch(arrow, part, found, id_cols)
 
-    short = rows.filter(~F.col("_unsplit")).drop("_unsplit").mapInArrow(whole, schema)
+    short = rows.filter(~F.col("_unsplit")).drop("_unsplit").mapInArrow(lean(whole), schema)
     return short.unionByName(_encode_unsplit(rows.filter("_unsplit").drop("_unsplit"), len(id_cols), definition, schema, outputs, leaf_chars))
 
 
@@ -253,5 +253,5 @@ def _encode_unsplit(rows: DataFrame, n_ids: int, definition, schema: T.StructTyp
         ids += codec.join_all(run)
         return pa.Table.from_batches([_batch(arrow, table.slice(0, 1), [_result(codec, ids, outputs)], arrow.names[:n_ids])])
 
-    parts = keyed.mapInArrow(cut, leaf_schema).repartition("_row", "_piece", "_leaf").mapInArrow(encode, part_schema)
+    parts = keyed.mapInArrow(lean(cut), leaf_schema).repartition("_row", "_piece", "_leaf").mapInArrow(lean(encode), part_schema)
     return parts.groupBy("_row").applyInArrow(merge, schema)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import cut as materialise
 from ..storage import scratch_path
 
-__all__ = ["crc32_of_id", "load", "materialise", "scratch_path", "text_or_empty", "utf8"]
+__all__ = ["crc32_of_id", "lean", "load", "materialise", "scratch_path", "text_or_empty", "utf8"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,3 +32,20 @@ def utf8(col: str | Column) -> Column:
 def crc32_of_id(col: str | Column) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.crc32(c.cast("string").cast("binary"))
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives its freed memory back when it ends, as workers live on for later tasks."""
+
+    @wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run

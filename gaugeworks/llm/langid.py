@@ -34,6 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 ORDER = 4
 SAMPLE_DOCS = 600
 #: Of the sampled documents, one in so many calibrates the rejection.
@@ -41,7 +43,7 @@ CALIBRATE = 4
 #: The allowance of a text of one letter, in nats.
 SHORT = 2.0
 #: Characters that a worker scores at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Characters of a text that the score's confidence counts at most.
 SCORE_CHARS = 40
 
@@ -228,7 +230,7 @@ def learn(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own), pa.binary()), pa.array([None] * len(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "gram", "text", "n"])
 
     draw_id = F.pmod(F.xxhash64(F.col("text"), F.lit("calibrate")), F.lit(1 << 20)).cast("long")
-    gathered = sample.select(draw_id, "text", "lang").mapInArrow(count, "lang string, gram binary, text string, n long")
+    gathered = sample.select(draw_id, "text", "lang").mapInArrow(lean(count), "lang string, gram binary, text string, n long")
     table = gathered.groupBy("lang", "gram", "text").agg(F.sum("n").alias("n")).toArrow()
     langs, grams, texts, n = (table.column(c).to_pylist() for c in ("lang", "gram", "text", "n"))
     by_lang: dict[str, list[int]] = {}
@@ -301,4 +303,4 @@ def identify(df: DataFrame, model: Model | None, id_cols: Sequence[str], text_co
                 yield pa.RecordBatch.from_arrays([*ids, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_()), pa.array(entropy, pa.float64())], names=schema.names)
                 at = end
 
-    return df.select(*[F.col(c).alias(f"_id{i}") for i, c in enumerate(id_cols)], F.col(text_col).alias("_text")).mapInArrow(score, schema)
+    return df.select(*[F.col(c).alias(f"_id{i}") for i, c in enumerate(id_cols)], F.col(text_col).alias("_text")).mapInArrow(lean(score), schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, text_or_empty, utf8
+from .common import lean, materialise, text_or_empty, utf8
 
 #: Code points that a key needs.
 MIN_CHARS = 10
@@ -127,7 +127,7 @@ def twice_seen(docs: DataFrame, segments: int, min_chars: int = MIN_CHARS) -> Da
                 once[a] = True
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["segment", "bits"])
 
-    partial = docs.filter("id is not null").select("text").mapInArrow(gather, _PARTIAL)
+    partial = docs.filter("id is not null").select("text").mapInArrow(lean(gather), _PARTIAL)
     return partial.groupBy("segment").applyInArrow(_whole(merge), "segment long, bits binary")
 
 
@@ -165,7 +165,7 @@ def _suspects(docs: DataFrame, filters: DataFrame, segments: int, broadcast_byte
                         keys += found
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(keys, pa.binary())], names=["id", "key"])
 
-        return docs.filter("id is not null").mapInArrow(probe, T.StructType([docs.schema["id"], T.StructField("key", T.BinaryType())]))
+        return docs.filter("id is not null").mapInArrow(lean(probe), T.StructType([docs.schema["id"], T.StructField("key", T.BinaryType())]))
 
     # the filter stays in its segments; hashes find out there whether they are suspect
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,9 +197,9 @@ def _suspects(docs: DataFrame, filters: DataFrame, segments: int, broadcast_byte
             hashes = _hashes(keys).view("int64")
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(keys, pa.binary()), pa.array(hashes)], names=["id", "key", "hash"])
 
-    distinct = docs.filter("id is not null").select("text").mapInArrow(hashed, "segment long, hash long").distinct()
+    distinct = docs.filter("id is not null").select("text").mapInArrow(lean(hashed), "segment long, hash long").distinct()
     suspect = distinct.groupBy("segment").cogroup(filters.groupBy("segment")).applyInArrow(check, "hash long")
-    lines = docs.filter("id is not null").mapInArrow(listed, T.StructType([docs.schema["id"], T.StructField("key", T.BinaryType()), T.StructField("hash", T.LongType())]))
+    lines = docs.filter("id is not null").mapInArrow(lean(listed), T.StructType([docs.schema["id"], T.StructField("key", T.BinaryType()), T.StructField("hash", T.LongType())]))
     return lines.join(suspect, "hash", "left_semi").select("id", "key")
 
 
@@ -210,7 +210,7 @@ def repeats(docs: DataFrame, *, min_chars: int = MIN_CHARS, broadcast_bytes: int
         n = sum(text.count(b"\n") + 1 for batch in batches for text in batch.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    lines = docs.select("text").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+    lines = docs.select("text").mapInArrow(lean(count), "n long").agg(F.sum("n")).first()[0] or 0
     segments = max(1, -(-lines * BITS // SEGMENT))
     filters = materialise(twice_seen(docs, segments, min_chars), "twice-seen")
     suspects = materialise(_suspects(docs, filters, segments, broadcast_bytes, min_chars), "suspects")
@@ -245,7 +245,7 @@ def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_
                 kept.append(b"\n".join(left))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=schema.names)
 
-    return docs.join(lost, "id", "left").select("id", "text", "keys").mapInArrow(rebuild, schema)
+    return docs.join(lost, "id", "left").select("id", "text", "keys").mapInArrow(lean(rebuild), schema)
 
 
 def digests(df: DataFrame, **options) -> DataFrame:
@@ -275,7 +275,7 @@ def dedup_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             arrays = [pa.array(texts, batch.schema.field(i).type) if i == where else batch.column(i) for i in range(len(inner))]
             yield pa.RecordBatch.from_arrays(arrays, names=inner)
 
-    out = joined.mapInArrow(rebuild, schema)
+    out = joined.mapInArrow(lean(rebuild), schema)
     if count_col in at:
         out = out.withColumn(at[count_col], F.length(text_or_empty(at[text_col])).cast(df.schema[count_col].dataType))
     return out.toDF(*df.columns)

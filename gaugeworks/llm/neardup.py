@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import lean, materialise, text_or_empty
 from .components import components
 
 SHINGLE = 5
@@ -54,7 +54,7 @@ TABLE_BITS = 13
 #: Shingles whose samples are drawn at a time.
 COLUMNS = 1024
 #: Characters that a worker cuts into shingles at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Shares in which a bucket's texts meet its smallest.
 SALTS = 16
 SEED = 20
@@ -179,7 +179,7 @@ def document_frequencies(units: DataFrame) -> np.ndarray:
     def add_table(key: tuple, table: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(add(key, iter(table.to_batches()))))
 
-    found = units.select("text").mapInArrow(count, "part long, counts binary").groupBy("part").applyInArrow(add_table, "part long, counts binary").collect()
+    found = units.select("text").mapInArrow(lean(count), "part long, counts binary").groupBy("part").applyInArrow(add_table, "part long, counts binary").collect()
     held = {r.part: np.frombuffer(r.counts, np.int64) for r in found}
     return np.concatenate([held.get(i, np.zeros((1 << DF_BITS) // parts, np.int64)) for i in range(parts)])
 
@@ -330,7 +330,7 @@ def _compare_groups(vectors: DataFrame) -> DataFrame:
             if found:
                 yield _edge_batch([r["key"] for r in rows], found)
 
-    return vectors.select("root", "key", "features", "weights").repartition("root").sortWithinPartitions("root", "key").mapInArrow(compare, _EDGES)
+    return vectors.select("root", "key", "features", "weights").repartition("root").sortWithinPartitions("root", "key").mapInArrow(lean(compare), _EDGES)
 
 
 def _compare_pivots(vectors: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -347,7 +347,7 @@ def _compare_pivots(vectors: DataFrame, pivots: DataFrame) -> DataFrame:
             if found:
                 yield _edge_batch([r["key"] for r in rows], found)
 
-    return members.unionByName(copies).repartition("root", "block").sortWithinPartitions("root", "block", "member", "key").mapInArrow(compare, _EDGES)
+    return members.unionByName(copies).repartition("root", "block").sortWithinPartitions("root", "block", "member", "key").mapInArrow(lean(compare), _EDGES)
 
 
 def _compare_large(vectors: DataFrame) -> DataFrame:
@@ -400,7 +400,7 @@ def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 found.append(sampler.bands(h, count * by_counter[_counters(h)]).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], names=["key", "bands"])
 
-    signed = materialise(units.mapInArrow(sign, "key binary, bands array<long>"), "bands")
+    signed = materialise(units.mapInArrow(lean(sign), "key binary, bands array<long>"), "bands")
     rows = signed.select("key", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least <> most").select("band", "least")
     buckets = buckets.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
@@ -426,7 +426,7 @@ def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
     named = groups.select("root", F.col("node").alias("key"))
     # merged at every size: the candidates grow with the corpus, so they are never broadcast
-    vectors = units.join(named.hint("shuffle_merge"), "key").select("root", "key", "text").mapInArrow(vectorise, "root binary, key binary, features binary, weights binary, n long")
+    vectors = units.join(named.hint("shuffle_merge"), "key").select("root", "key", "text").mapInArrow(lean(vectorise), "root binary, key binary, features binary, weights binary, n long")
     vectors = materialise(vectors, "vectors")
     sizes = vectors.groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
     blocks = F.ceil(F.greatest(F.col("texts") / BLOCK, F.col("n") / BLOCK_FEATURES)).cast("long")
