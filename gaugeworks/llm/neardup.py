@@ -13,10 +13,11 @@
 4. Within a candidate group all pairs are compared exactly: weighted Jaccard of
    at least ``SIMILARITY`` is a link, in whole numbers, so results don't depend on
    summation order. Groups of up to ``BLOCK`` texts are compared in one task. Larger
-   ones are dealt into blocks that meet rounds of up to ``BLOCK`` pivots: first some
+   ones are dealt into blocks that meet rounds of about ``BLOCK`` pivots: first some
    of all texts, then all texts outside the group's largest class. Afterwards
    each pair has been compared or is joined already, so no link is lost and no
-   task holds a group.
+   task holds a group. N texts outside the largest class take about N / ``BLOCK``
+   rounds, each of which reads the whole group.
 5. Classes are the components of the links; a class's id is its smallest id.
 
 Defined results: null text counts as empty; texts of fewer than five words are
@@ -356,14 +357,14 @@ def _compare_large(vectors: DataFrame) -> DataFrame:
     edges, done = empty, vectors.select("key").limit(0)
     groups = vectors.select("root", "key")
     labels = groups.withColumn("class", F.col("key"))
-    first = True
+    turn = 0
     while True:
         sizes = labels.groupBy("root", "class").agg(F.count("*").alias("n"))
         largest = sizes.groupBy("root").agg(F.max(F.struct("n", "class")).alias("top")).select("root", F.col("top.class").alias("largest"))
-        open_ = labels.join(largest, "root").filter(F.lit(True) if first else F.col("class") != F.col("largest")).join(done, "key", "left_anti").select("root", "key")
+        open_ = labels.join(largest, "root").filter(F.lit(True) if turn == 0 else F.col("class") != F.col("largest")).join(done, "key", "left_anti").select("root", "key")
         left = open_.groupBy("root").agg(F.count("*").alias("open"))
-        draw = F.pmod(F.xxhash64("key", F.lit("pivot")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        # about BLOCK of a group's open texts; the draw is the same every round, so what is left moves down
+        # about BLOCK of a group's open texts, drawn afresh every round: an old draw has used up the texts that it favours
+        draw = F.pmod(F.xxhash64("key", F.lit("pivot"), F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
         chosen = open_.join(left, "root").filter((F.col("open") <= BLOCK) | (draw <= F.lit(float(BLOCK)) / F.col("open"))).select("key")
         chosen = materialise(chosen, "pivots")
         if chosen.isEmpty():
@@ -374,7 +375,7 @@ def _compare_large(vectors: DataFrame) -> DataFrame:
         done = materialise(done.unionByName(chosen), "pivots-done")
         roots = components(edges, "classes")
         labels = _labelled(groups, roots)
-        first = False
+        turn += 1
 
 
 def _labelled(groups: DataFrame, roots: DataFrame) -> DataFrame:

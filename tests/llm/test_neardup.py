@@ -78,6 +78,28 @@ def test_classes_match_brute_force(spark, monkeypatch, block):
     assert got == brute(rows)
 
 
+def test_unlike_texts_of_a_large_group_take_few_rounds(spark, monkeypatch):
+    block, n, rounds = 48, 480, []
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    compare = neardup._compare_pivots
+
+    def counted(vectors, pivots):
+        rounds.append(pivots.count())
+        assert len(rounds) <= n // block + 5, rounds
+        return compare(vectors, pivots)
+
+    monkeypatch.setattr(neardup, "_compare_pivots", counted)
+    rng = np.random.default_rng(4)
+    sets = [np.sort(rng.integers(1 << 62, size=20, dtype=np.uint64)) for _ in range(n)]
+    sets += [np.sort(np.append(sets[i][1:], np.uint64(i))) for i in range(0, n, 40)]  # 19 of 21 features shared
+    keys = [i.to_bytes(4, "big") for i in rng.permutation(len(sets)).tolist()]
+    rows = [(b"root", k, s.tobytes(), b"\x40" * 20, 20, -(-len(sets) // block)) for k, s in zip(keys, sets, strict=True)]
+    edges = neardup._compare_large(spark.createDataFrame(rows, "root binary, key binary, features binary, weights binary, n long, blocks long"))
+    found = {frozenset((bytes(r.a), bytes(r.b))) for r in edges.filter("a <> b").collect()}
+    assert found == {frozenset((keys[n + j], keys[i])) for j, i in enumerate(range(0, n, 40))}
+    assert sum(rounds) >= n and max(rounds) <= 2 * block
+
+
 def test_one_of_each_class_stays(spark):
     rows = fixture(2, 10, 5)
     df = spark.createDataFrame([(*r, str(r[0])) for r in rows], "doc_id long, text string, class_id string")
