@@ -4,7 +4,8 @@ Two tables hold an archive: ``payloads`` has every distinct payload once under
 its SHA-256, and ``headers`` has the exact header bytes of every record with
 the SHA-256 of its payload. A record is its header, its HTTP header and its
 payload again, joined by digest. Reading verifies each stored payload once
-against its key and recomputes the digest that the headers carry.
+against its key and recomputes the digest that the headers carry. ``round_trip``
+rebuilds every record's bytes and takes its columns from them.
 
 Equal payloads: the smallest id is the ``response``; the others are ``revisit``
 records that name it in WARC-Refers-To. Payloads below ``min_bytes`` are always
@@ -22,10 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, utf8
+from .common import materialise, scratch_path, utf8
 
 #: Groups of equal payloads meet their rows in so many salted shares.
 SALTS = 16
+#: Records that one copy of a payload's bytes is joined to, about.
+SHARE_ROWS = 64
 
 #: Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
@@ -86,40 +89,67 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return stored.select(checked.alias("sha256"), "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
 
 
+def _in_shares(headers: DataFrame, payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with a ``share``: a payload of many records is copied once for about SHARE_ROWS of them, all others stay whole."""
+    rows = headers.groupBy("sha256").agg(F.count("*").alias("rows")).filter(F.col("rows") > SHARE_ROWS)
+    hot = materialise(rows.select("sha256", F.ceil(F.col("rows") / SHARE_ROWS).cast("int").alias("shares")), "warc-hot")
+    salted = hot.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    headers = headers.withColumn("salt", F.pmod(F.xxhash64("header"), F.lit(SALTS)).cast("int")).join(salted, ["sha256", "salt"], "left")
+    headers = headers.withColumn("share", F.coalesce(F.pmod(F.xxhash64("header", F.lit("share")), F.col("shares")).cast("int"), F.lit(0)))
+    copies = payloads.join(hot, "sha256", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)))
+    return headers.drop("salt", "shares"), copies.drop("shares")
+
+
 def read_records(spark: SparkSession, path: str, *, with_bytes: bool = False) -> DataFrame:
     """One row per record: id, record_type, refers_to, payload_bytes, payload_digest; with_bytes adds record and payload.
 
     Type, reference and digest come from the stored header bytes; the digest
     must equal the one recomputed from the stored payload. A revisit's record
     has no payload of its own, its ``payload`` is that of the response.
+
+    with_bytes rebuilds each record first and takes all columns from its bytes:
+    digest and length are those of the payload cut out of the record (of a
+    revisit, of the one it refers to), and the record's Content-Length must hold.
     """
-    headers = spark.read.parquet(f"{path}/headers").withColumn("text", F.decode("header", "UTF-8"))
-    field = lambda name: F.regexp_extract("text", rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
+    headers = spark.read.parquet(f"{path}/headers")
     payloads = read_payloads(spark, path)
-    payloads = payloads if with_bytes else payloads.drop("payload")
-    # a hot payload's headers meet it in salted shares; its bytes are copied only when asked for, and then by Spark's skew join
-    if not with_bytes:
-        payloads = payloads.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        headers = headers.withColumn("salt", F.pmod(F.xxhash64("header"), F.lit(SALTS)).cast("int"))
-    joined = headers.join(payloads, ["sha256"] if with_bytes else ["sha256", "salt"])
-    named = F.replace(field("WARC-Payload-Digest"), F.lit("sha1:"))
+    field = lambda name: F.regexp_extract("text", rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
     kind = field("WARC-Type")
+    if with_bytes:
+        headers, payloads = _in_shares(headers, payloads.select("sha256", F.col("payload").alias("stored")))
+        joined = headers.join(payloads, ["sha256", "share"]).withColumn("text", F.decode("header", "UTF-8"))
+        record = F.concat("header", F.when(kind == "revisit", F.lit(b"")).otherwise(F.col("stored")), F.lit(b"\r\n\r\n"))
+        joined = joined.withColumn("record", record).withColumn("head", F.octet_length("header"))
+        joined = joined.withColumn("text", F.decode(F.expr("substring(record, 1, head)"), "UTF-8")).withColumn("block", F.expr("substring(record, head + 1, octet_length(record) - head - 4)"))
+        # the HTTP header, the rest of the text, is ASCII
+        length = F.length("text") - F.instr("text", EOL * 2) - 3 + F.octet_length("block")
+        stated = field("Content-Length")
+        joined = joined.withColumn("payload", F.when(kind == "revisit", F.col("stored")).otherwise(F.col("block")))
+        joined = joined.withColumn("payload_digest", base32_sha1(F.col("payload")))
+        payload_bytes = F.when(stated == length.cast("string"), F.octet_length("payload").cast("long")).otherwise(F.raise_error(F.concat(F.lit("header names another length: "), stated)))
+    else:
+        # a hot payload's headers meet its digest in salted shares
+        payloads = payloads.drop("payload").withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        headers = headers.withColumn("text", F.decode("header", "UTF-8")).withColumn("salt", F.pmod(F.xxhash64("header"), F.lit(SALTS)).cast("int"))
+        joined = headers.join(payloads, ["sha256", "salt"])
+        payload_bytes = F.col("payload_bytes")
+    named = F.replace(field("WARC-Payload-Digest"), F.lit("sha1:"))
     out = [
-        F.col("id"), F.col("payload_bytes"),
+        F.col("id"), payload_bytes.alias("payload_bytes"),
         F.when(named == F.col("payload_digest"), named).otherwise(F.raise_error(F.concat(F.lit("header names another digest: "), named))).alias("payload_digest"),
         kind.alias("record_type"),
         F.when(kind == "revisit", F.regexp_extract(field("WARC-Refers-To"), r"^<urn:page:(.*)>$", 1)).alias("refers_to"),
     ]
     if with_bytes:
-        out += [F.concat("header", F.when(kind == "revisit", F.lit(b"")).otherwise(F.col("payload")), F.lit(b"\r\n\r\n")).alias("record"), F.col("payload")]
+        out += [F.col("record"), F.col("payload")]
     return joined.select(*out)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Write an archive in the shared folder and read its records back, refers_to in the id's type."""
+    """Write an archive in the shared folder, rebuild its records' bytes and read them, refers_to in the id's type."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archive(pages, path, **options)
     id_col = options.get("id_col", "page_id")
-    records = read_records(spark, path)
+    records = read_records(spark, path, with_bytes=True).drop("record", "payload")
     return records.withColumn("refers_to", F.col("refers_to").cast(pages.schema[id_col].dataType)).withColumnRenamed("id", id_col)

@@ -55,5 +55,31 @@ def test_damage_fails(spark, tmp_path):
         warc.read_records(spark, str(tmp_path / "b")).collect()
 
 
+def test_round_trip_rebuilds_the_bytes(spark, monkeypatch):
+    write = warc.write_archive
+
+    def forged(pages, path, **options):
+        write(pages, f"{path}-true", **options)
+        spark.read.parquet(f"{path}-true/payloads").write.parquet(f"{path}/payloads")
+        spark.read.parquet(f"{path}-true/headers").selectExpr("id", "sha256", "cast(regexp_replace(decode(header, 'UTF-8'), 'Content-Length: ([0-9]+)', 'Content-Length: 1$1') as binary) header").write.parquet(f"{path}/headers")
+
+    monkeypatch.setattr(warc, "write_archive", forged)
+    with pytest.raises(Exception, match="header names another length"):
+        warc.round_trip(spark.createDataFrame(ROWS, "page_id long, url string, html string")).collect()
+
+
+def test_hot_payload_is_joined_in_shares(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "SHARE_ROWS", 8)
+    rows = ROWS + [(100 + i, f"http://é/{i}", "hot" * 99) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.round_trip(df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+    warc.write_archive(df, str(tmp_path / "a"))
+    headers, copies = warc._in_shares(spark.read.parquet(str(tmp_path / "a/headers")), spark.read.parquet(str(tmp_path / "a/payloads")))
+    sizes = [r["count"] for r in headers.groupBy("sha256", "share").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 24
+    assert copies.count() == len({r[2] or "" for r in ROWS}) + 25
+
+
 def test_empty_table(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
