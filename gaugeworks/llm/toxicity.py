@@ -8,6 +8,13 @@ distance is the bytes that the toxic dictionary saves over the ordinary one,
 as a share of the window's bytes. A document's is its largest, and a monotone
 calibration turns that into a score.
 
+Runs of over ``LONG_CHARS`` letters (scripts without blanks, words joined by
+underscores) are also covered by windows of ``SLIDE_CHARS`` at steps of
+``SLIDE_STEP``, so that a word within them is neither split nor diluted. The
+dictionaries learn from such runs in pieces of ``WINDOW_CHARS``, by grams of
+``GRAM`` characters: within a run, shorter words are learned only with their
+neighbours.
+
 The toxic dictionary learns from the toxic documents' distinctive spans, as
 toxic documents are mostly ordinary text: characters under 5-grams that stand
 in many more different word contexts there than in ordinary documents. Contexts
@@ -49,6 +56,8 @@ ORDINARY_BYTES, TOXIC_BYTES = 1 << 14, 1 << 12
 LEVEL = 3
 #: Longer runs of letters are cut into windows of so many characters.
 WINDOW_CHARS = 48
+#: Over longer runs slide windows of about a word's length, in characters.
+LONG_CHARS, SLIDE_CHARS, SLIDE_STEP = 16, 8, 2
 #: Words whose distance a worker remembers.
 CACHE = 1 << 19
 #: Without enough labels to calibrate, a window that the toxic dictionary shortens by this share is toxic.
@@ -66,6 +75,19 @@ def words_of(text: str) -> list[str]:
     return found
 
 
+def windows_of(text: str) -> Iterator[str]:
+    """Distinct words, long runs in pieces, and the windows that slide over each long run, borders of its pieces included."""
+    for run in set(_WORD.findall(text.lower())):
+        if len(run) <= LONG_CHARS:
+            yield run
+            continue
+        for i in range(0, len(run), WINDOW_CHARS):
+            yield run[i : i + WINDOW_CHARS]
+        for i in range(0, len(run) - SLIDE_CHARS, SLIDE_STEP):
+            yield run[i : i + SLIDE_CHARS]
+        yield run[-SLIDE_CHARS:]
+
+
 @dataclass
 class Model:
     toxic: bytes
@@ -104,11 +126,11 @@ class Scorer:
 
     def document(self, text: str | None) -> float:
         known, most = self.known, 0.0
-        if len(known) > CACHE:
-            known.clear()
-        for w in set(words_of(text or "")):
+        for w in windows_of(text or ""):
             d = known.get(w)
             if d is None:
+                if len(known) > CACHE:
+                    known.clear()
                 d = known[w] = self.word(w)
             if d > most:
                 most = d

@@ -49,3 +49,33 @@ def test_calibration_rises():
     x, y, errors = toxicity.calibrate([0.0, 0.1, 0.1, 0.6, 0.7, 0.2], [0, 0, 0, 1, 1, 0])
     assert x[1] == 0.4 and y[1] == 0.5 and y[0] < 0.5 < y[2] and errors == 0
     assert toxicity.calibrate([0.1, 0.1], [0, 1])[0][1] == toxicity.DEFAULT_THRESHOLD
+
+
+def test_toxic_words_within_long_runs():
+    data = rows()
+    model = toxicity.fit([t for _, t, y in data if y], [t for _, t, y in data if not y])
+    scorer, rng = toxicity.Scorer(model), random.Random(5)
+    plain = [t.split()[:k] for k in (5, 20, 60) for _, t, y in data[:300] if not y]
+    for joint in ("", "_"):
+        clean = [model.score(scorer.document(joint.join(words))) for words in plain]
+        toxic = []
+        for words in plain:
+            at = rng.randrange(len(words))
+            toxic.append(model.score(scorer.document(joint.join([*words[:at], rng.choice(BAD), *words[at:]]))))
+        assert sum(s >= 0.5 for s in toxic) >= 0.97 * len(toxic) and sum(s >= 0.5 for s in clean) <= 0.03 * len(clean)
+
+
+def test_toxic_words_in_a_script_without_blanks():
+    rng = random.Random(6)
+    draw = lambda: "".join(chr(0x4E00 + rng.randrange(400)) for _ in range(rng.randint(60, 200)))
+    bad = ["\u6211\u7231\u5317\u4eac\u5929\u5b89", "\u95e8\u9ad8\u9ad8\u5174\u5174\u897f"]
+
+    def toxic():
+        text = draw()
+        at = rng.randrange(len(text))
+        return text[:at] + rng.choice(bad) + text[at:]
+
+    model = toxicity.fit([toxic() for _ in range(300)], [draw() for _ in range(600)])
+    scorer = toxicity.Scorer(model)
+    assert sum(model.score(scorer.document(toxic())) >= 0.5 for _ in range(200)) >= 190
+    assert sum(model.score(scorer.document(draw())) >= 0.5 for _ in range(200)) <= 10
