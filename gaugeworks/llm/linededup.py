@@ -1,17 +1,25 @@
 """Line deduplication with a once-seen and a twice-seen Bloom filter.
 
-1. Every task sets the bits of its documents' line keys in two sparse filters:
-   a bit set again goes into the second. The tasks' filters are merged by
-   segment; a bit that two of them hold is twice-seen as well. The second
-   filter has no false negatives: a key of two documents has all its bits there.
-2. Lines whose bits are all in the second filter are suspects. Only these are
-   shuffled, by the whole key, which confirms repeats exactly and finds the
-   smallest document id.
-3. Documents with lines to lose meet their list by id and are rebuilt.
-
-The filters have ``BITS`` bits a key, counted beforehand. A filter of at most
-``BROADCAST_BYTES`` is broadcast for step 2; a larger one stays in its
-segments, and keys' hashes (not the lines) meet it there.
+A line's digest (BLAKE2b, ``DIGEST`` bytes of its whole key) stands for it.
+
+1. A task gathers about ``FLUSH`` keys of its documents at a time. Those that two
+   of the gathered documents hold are suspects already. Of all of them it sets
+   ``PROBES`` bits in two sparse filters, a bit set again going into the second,
+   and hands both on by segment, beside the digests seen once with their ids.
+2. At a segment the partial filters come first: they are merged into the
+   segment's once-seen and twice-seen filter, where a bit that two parts hold is
+   twice-seen. The digests follow, and those whose bits are all twice-seen are
+   suspects. The filter has no false negatives: a key of two documents has all
+   its bits there. It never leaves its segment, so there is one path whatever
+   its size, and no line's text moves.
+3. Only suspects are shuffled by digest, which confirms repeats and finds the
+   smallest document id. A frequent line is aggregated before it is shuffled,
+   and its documents meet it in salted shares.
+4. Documents with lines to lose meet their digests by id and are rebuilt.
+
+The filters have ``BITS`` bits a line, counted beforehand. That 128 bits confirm
+a repeat is no approximation in practice: among 10^12 lines, two different ones
+of equal digest are expected less than once in 10^14 corpora.
 
 Defined results: null or empty text is one empty line; a null doc_id stands
 for a document of its own that neither loses lines nor makes others lose any;
@@ -33,14 +41,18 @@ from .common import lean, materialise, text_or_empty, utf8
 
 #: Code points that a key needs.
 MIN_CHARS = 10
-#: Filter bits a key, bits set by a key, bits of a segment.
-BITS, PROBES, SEGMENT = 16, 4, 1 << 23
-#: A twice-seen filter up to this size is broadcast.
-BROADCAST_BYTES = 32 << 20
+#: Bytes that stand for a key.
+DIGEST = 16
+#: Filter bits a line, bits set by a key.
+BITS, PROBES = 16, 4
+#: Bits of a segment, at least and at most, and segments to have before they grow.
+SMALL, LARGE, SPREAD = 1 << 20, 1 << 26, 64
 #: Shares in which a repeated line's documents meet it.
 SALTS = 8
-#: Keys that a task gathers before it hands on a partial filter.
+#: Keys that a task gathers before it hands on a partial filter and digests.
 FLUSH = 1 << 20
+#: Digests of a row on their way to a segment or from it.
+ROW_KEYS = 1 << 15
 
 
 def keys_of(text: bytes, min_chars: int = MIN_CHARS) -> list[bytes | None]:
@@ -53,21 +65,28 @@ def keys_of(text: bytes, min_chars: int = MIN_CHARS) -> list[bytes | None]:
     return out
 
 
-def _hashes(keys) -> "np.ndarray":  # noqa: F821
-    import numpy as np
-    import xxhash
+def digest(key: bytes) -> bytes:
+    from hashlib import blake2b
+
+    return blake2b(key, digest_size=DIGEST).digest()
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64)
 
+def filter_size(lines: int) -> tuple[int, int]:
+    """Segments, and bits of each."""
+    size = SMALL
+    while size < LARGE and size * SPREAD < lines * BITS:
+        size *= 2
+    return max(1, -(-lines * BITS // size)), size
 
-def _bits(hashes, segments: int):
-    """Segments, and per key PROBES bits in its segment."""
+
+def _bits(digests, size: tuple[int, int]):
+    """digests: rows of two 64-bit words. Segments, and per key PROBES bits in its segment."""
     import numpy as np
 
-    segment = (hashes >> np.uint64(40)) % np.uint64(segments)
-    step = hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(17) | np.uint64(1)
-    probe = (hashes[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) >> np.uint64(7)
-    return segment.astype(np.int64), (probe % np.uint64(SEGMENT)).astype(np.int64)
+    a, b = digests[:, 0], digests[:, 1] | np.uint64(1)
+    segment = (a >> np.uint64(24)) % np.uint64(size[0])
+    probe = (a[:, None] + b[:, None] * np.arange(1, PROBES + 1, dtype=np.uint64)) >> np.uint64(11)
+    return segment.astype(np.int64), (probe % np.uint64(size[1])).astype(np.int64)
 
 
 def _pack(bits) -> bytes:
@@ -84,168 +103,135 @@ def _unpack(data: bytes):
     return np.cumsum(np.frombuffer(zstandard.decompress(data), "<u4"), dtype=np.int64)
 
 
-_PARTIAL = "segment long, once binary, twice binary"
-
+#: Kinds of rows that go to a segment, in the order in which it takes them.
+FILTER, PROBE, SUSPECT = 0, 1, 2
 
-def twice_seen(docs: DataFrame, segments: int, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs: id, text (bytes). Rows of segment, bits: the twice-seen filter, empty segments left out."""
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        def flush(found: list) -> pa.RecordBatch:
-            segment, bits = _bits(np.concatenate(found), segments)
-            flat, times = np.unique((segment[:, None] * SEGMENT + np.sort(bits, axis=1)).ravel(), return_counts=True)
-            rows = []
-            cuts = np.flatnonzero(np.diff(flat // SEGMENT)) + 1
-            for part, n in zip(np.split(flat, cuts), np.split(times, cuts), strict=True):
-                rows.append((int(part[0] // SEGMENT), _pack(part % SEGMENT), _pack(part[n > 1] % SEGMENT)))
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["segment", "once", "twice"])
-
-        found, n = [], 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                keys = {k for k in keys_of(text, min_chars) if k is not None}
-                if keys:
-                    found.append(_hashes(keys))
-                    n += len(keys)
-                if n >= FLUSH:
-                    yield flush(found)
-                    found, n = [], 0
-        if found:
-            yield flush(found)
-
-    def merge(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        once, twice = np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
-        for part in parts:
-            for a, b in zip(part.column("once").to_pylist(), part.column("twice").to_pylist(), strict=True):
-                a = _unpack(a)
-                twice[a[once[a]]] = True
-                twice[_unpack(b)] = True
-                once[a] = True
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["segment", "bits"])
-
-    partial = docs.filter("id is not null").select("text").mapInArrow(lean(gather), _PARTIAL)
-    return partial.groupBy("segment").applyInArrow(_whole(merge), "segment long, bits binary")
-
-
-def _whole(merge):
-    """As a function of table; a segment's partial filters are bounded by its bits times the tasks that hold them."""
-
-    def of_table(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(merge(key, iter(table.to_batches()))))
-
-    return of_table
-
-
-def _suspects(docs: DataFrame, filters: DataFrame, segments: int, broadcast_bytes: int, min_chars: int) -> DataFrame:
-    """Rows of id, key: one for each document and key that the filter suspects."""
-    spark = docs.sparkSession
-    if segments * SEGMENT // 8 <= broadcast_bytes:
-        held = spark.sparkContext.broadcast({r.segment: bytes(r.bits) for r in filters.collect()})
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import numpy as np
-
-            bits = np.zeros(segments * SEGMENT // 8, np.uint8)
-            for k, v in held.value.items():
-                bits[k * SEGMENT // 8 : (k + 1) * SEGMENT // 8] = np.frombuffer(v, np.uint8)
-            for batch in batches:
-                ids, keys = [], []
-                for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    own = [k for k in dict.fromkeys(keys_of(text, min_chars)) if k is not None]
-                    if own:
-                        segment, at = _bits(_hashes(own), segments)
-                        flat = segment[:, None] * SEGMENT + at
-                        hit = ((bits[flat >> 3] >> (7 - (flat & 7)).astype(np.uint8)) & 1).all(axis=1)
-                        found = [k for k, h in zip(own, hit.tolist(), strict=True) if h]
-                        ids += [i] * len(found)
-                        keys += found
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(keys, pa.binary())], names=["id", "key"])
-
-        return docs.filter("id is not null").mapInArrow(lean(probe), T.StructType([docs.schema["id"], T.StructField("key", T.BinaryType())]))
-
-    # the filter stays in its segments; hashes find out there whether they are suspect
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                keys = {k for k in keys_of(text, min_chars) if k is not None}
-                if keys:
-                    h = _hashes(keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(_bits(h, segments)[0]), pa.array(h.view("int64"))], names=["segment", "hash"])
 
-    def check(key: tuple, hashes: pa.Table, filters: pa.Table) -> pa.Table:
-        import numpy as np
+def _gathered(ids: list, digests: list[bytes], size: tuple[int, int], out: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows that some documents' distinct keys send to the segments; suspects that need no segment go to made-up ones."""
+    import numpy as np
 
-        h = hashes.column("hash").combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64)
-        if not filters.num_rows or not len(h):
-            return pa.table({"hash": pa.array([], pa.int64())})
-        bits = np.frombuffer(filters.column("bits")[0].as_py(), np.uint8)
-        at = _bits(h, segments)[1]
-        hit = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
-        return pa.table({"hash": pa.array(h[hit].view(np.int64))})
+    d = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+    _, inverse, times = np.unique(d[:, 0], return_inverse=True, return_counts=True)
+    once = times[inverse] == 1
+    segment, bits = _bits(d, size)
+    rows: list[tuple] = []
+
+    flat, count = np.unique((segment[:, None] * size[1] + np.sort(bits, axis=1)).ravel(), return_counts=True)
+    cuts = np.flatnonzero(np.diff(flat // size[1])) + 1
+    for part, n in zip(np.split(flat, cuts), np.split(count, cuts), strict=True):
+        rows.append((int(part[0] // size[1]), FILTER, [], _pack(part % size[1]), _pack(part[n > 1] % size[1])))
+
+    def listed(at, segment_of: int, kind: int) -> None:
+        for i in range(0, len(at), ROW_KEYS):
+            some = at[i : i + ROW_KEYS]
+            rows.append((segment_of, kind, [ids[k] for k in some.tolist()], d[some].tobytes(), b""))
+
+    order = np.flatnonzero(once)[np.argsort(segment[once], kind="stable")]
+    for part in np.split(order, np.flatnonzero(np.diff(segment[order])) + 1):
+        if len(part):
+            listed(part, int(segment[part[0]]), PROBE)
+    repeated = np.flatnonzero(~once)
+    listed(repeated, -1 - int(d[0, 0] % np.uint64(1 << 30)), SUSPECT)
+    for i in range(0, len(rows), 256):
+        part = rows[i : i + 256]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], f.type) for k, f in enumerate(out)], names=out.names)
+
+
+def suspects(docs: DataFrame, size: tuple[int, int], min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs: id, text (bytes). Rows of id, digest: every document and key that the twice-seen filter doesn't clear."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    id_type = docs.schema["id"].dataType
+    sent = T.StructType([T.StructField("segment", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("data", T.BinaryType()), T.StructField("twice", T.BinaryType())])
+    found = T.StructType([T.StructField("id", id_type), T.StructField("digest", T.BinaryType())])
+    sent_arrow, found_arrow = to_arrow_schema(sent), to_arrow_schema(found)
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        digests: list[bytes] = []
         for batch in batches:
-            ids, keys, hashes = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = [k for k in dict.fromkeys(keys_of(text, min_chars)) if k is not None]
+                own = {digest(k) for k in keys_of(text, min_chars) if k is not None}
                 ids += [i] * len(own)
-                keys += own
-            hashes = _hashes(keys).view("int64")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(keys, pa.binary()), pa.array(hashes)], names=["id", "key", "hash"])
-
-    distinct = docs.filter("id is not null").select("text").mapInArrow(lean(hashed), "segment long, hash long").distinct()
-    suspect = distinct.groupBy("segment").cogroup(filters.groupBy("segment")).applyInArrow(check, "hash long")
-    lines = docs.filter("id is not null").mapInArrow(lean(listed), T.StructType([docs.schema["id"], T.StructField("key", T.BinaryType()), T.StructField("hash", T.LongType())]))
-    return lines.join(suspect, "hash", "left_semi").select("id", "key")
-
-
-def repeats(docs: DataFrame, *, min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs: id, text (bytes). Rows of id, keys: the keys whose lines the document loses."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(text.count(b"\n") + 1 for batch in batches for text in batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-    lines = docs.select("text").mapInArrow(lean(count), "n long").agg(F.sum("n")).first()[0] or 0
-    segments = max(1, -(-lines * BITS // SEGMENT))
-    filters = materialise(twice_seen(docs, segments, min_chars), "twice-seen")
-    suspects = materialise(_suspects(docs, filters, segments, broadcast_bytes, min_chars), "suspects")
-    confirmed = suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    # a hot line's documents meet it in salted shares, for which its digest stands
-    digest = F.unhex(F.sha2("key", 256)).alias("digest")
-    confirmed = confirmed.select(digest, "first", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
-    suspects = suspects.select("id", "key", digest, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    lost = suspects.join(confirmed, ["digest", "salt"]).filter("id > first")
-    return lost.groupBy("id").agg(F.collect_set("key").alias("keys"))
-
+                digests += own
+                if len(ids) >= FLUSH:
+                    yield from _gathered(ids, digests, size, sent_arrow)
+                    ids, digests = [], []
+        if ids:
+            yield from _gathered(ids, digests, size, sent_arrow)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+        now, once, twice = None, np.zeros(size[1], bool), np.zeros(size[1], bool)
+        for batch in batches:
+            segment, kind = batch.column("segment").to_pylist(), batch.column("kind").to_pylist()
+            for r in range(batch.num_rows):
+                data = batch.column("data")[r].as_py()
+                if segment[r] != now:
+                    now = segment[r]
+                    once[:] = False
+                    twice[:] = False
+                if kind[r] == FILTER:
+                    bits = _unpack(data)
+                    twice[bits[once[bits]]] = True
+                    twice[_unpack(batch.column("twice")[r].as_py())] = True
+                    once[bits] = True
+                    continue
+                d = np.frombuffer(data, np.uint64).reshape(-1, 2)
+                hit = np.arange(len(d)) if kind[r] == SUSPECT else np.flatnonzero(twice[_bits(d, size)[1]].all(axis=1))
+                if len(hit):
+                    own = batch.column("ids")[r].values.take(pa.array(hit))
+                    yield pa.RecordBatch.from_arrays([own, pa.FixedSizeBinaryArray.from_buffers(pa.binary(DIGEST), len(hit), [None, pa.py_buffer(d[hit].tobytes())]).cast(pa.binary())], schema=found_arrow)
+
+    rows = docs.filter("id is not null").select("id", "text").mapInArrow(lean(gather), sent)
+    return rows.repartition("segment").sortWithinPartitions("segment", "kind").mapInArrow(lean(probe), found)
+
+
+def repeats(docs: DataFrame, *, min_chars: int = MIN_CHARS, size: tuple[int, int] | None = None) -> DataFrame:
+    """docs: id, text (bytes). Rows of id, digests: those of the keys whose lines the document loses."""
+    if size is None:
+        text = F.col("text").cast("string")
+        lines = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+        size = filter_size(lines)
+    found = materialise(suspects(docs, size, min_chars), "suspects")
+    confirmed = found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    # a hot line's documents meet it in salted shares
+    confirmed = confirmed.select("digest", "first", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt"))
+    found = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    lost = found.join(confirmed, ["digest", "salt"]).filter("id > first")
+    return lost.groupBy("id").agg(F.collect_set("digest").alias("digests"))
+
+
+def _without(text: bytes, lost: list[bytes], min_chars: int) -> tuple[list[bytes], int]:
+    """The lines that stay, and how many there were."""
+    drop, lines = set(lost), text.split(b"\n")
+    return [line for line, key in zip(lines, keys_of(text, min_chars), strict=True) if key is None or digest(key) not in drop], len(lines)
+
+
+def dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, size: tuple[int, int] | None = None) -> DataFrame:
     """One row per input row: id, n_lines, n_dropped, kept (the remaining lines joined by newlines)."""
     docs = df.select(F.col(id_col).alias("id"), utf8(text_col).alias("text"))
-    lost = repeats(docs, min_chars=min_chars, broadcast_bytes=broadcast_bytes)
+    lost = repeats(docs, min_chars=min_chars, size=size)
     schema = T.StructType([docs.schema["id"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_lines, n_dropped, kept = [], [], []
-            for text, keys in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if not keys:
+            for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not gone:
                     n_lines.append(text.count(b"\n") + 1)
                     n_dropped.append(0)
                     kept.append(text)
                     continue
-                drop, lines = set(keys), text.split(b"\n")
-                left = [line for line, key in zip(lines, keys_of(text, min_chars), strict=True) if key not in drop]
-                n_lines.append(len(lines))
-                n_dropped.append(len(lines) - len(left))
+                left, n = _without(text, gone, min_chars)
+                n_lines.append(n)
+                n_dropped.append(n - len(left))
                 kept.append(b"\n".join(left))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=schema.names)
 
-    return docs.join(lost, "id", "left").select("id", "text", "keys").mapInArrow(lean(rebuild), schema)
+    return docs.join(lost, "id", "left").select("id", "text", "digests").mapInArrow(lean(rebuild), schema)
 
 
 def digests(df: DataFrame, **options) -> DataFrame:
@@ -267,11 +253,8 @@ def dedup_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, keys in zip(batch.column(where).to_pylist(), batch.column(len(inner)).to_pylist(), strict=True):
-                if keys:
-                    drop, raw = set(keys), text.encode()
-                    text = b"\n".join(line for line, key in zip(raw.split(b"\n"), keys_of(raw, min_chars), strict=True) if key not in drop).decode()
-                texts.append(text)
+            for text, gone in zip(batch.column(where).to_pylist(), batch.column(len(inner)).to_pylist(), strict=True):
+                texts.append(b"\n".join(_without(text.encode(), gone, min_chars)[0]).decode() if gone else text)
             arrays = [pa.array(texts, batch.schema.field(i).type) if i == where else batch.column(i) for i in range(len(inner))]
             yield pa.RecordBatch.from_arrays(arrays, names=inner)
 

@@ -31,11 +31,14 @@ def fixture(seed, n=120):
     return [*rows, (n, None), (n + 1, ""), (None, "All rights reserved."), (None, "short\nAll rights reserved."), (3, "All rights reserved.\nand more text"), rows[0]]
 
 
-@pytest.mark.parametrize("broadcast_bytes", [linededup.BROADCAST_BYTES, 0])
-def test_matches_brute_force(spark, broadcast_bytes):
+#: The size that the lines ask for, many segments, and one so small that it suspects much.
+@pytest.mark.parametrize("size", [None, (37, 1 << 12), (3, 64)])
+@pytest.mark.parametrize("flush", [linededup.FLUSH, 20])
+def test_matches_brute_force(spark, monkeypatch, size, flush):
+    monkeypatch.setattr(linededup, "FLUSH", flush)
     rows = fixture(1)
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, id string").repartition(5)
-    got = linededup.digests(df, broadcast_bytes=broadcast_bytes)
+    got = linededup.digests(df, size=size)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(brute(rows), key=str)
 
 
@@ -54,3 +57,25 @@ def test_filter_has_no_false_negatives(spark):
     rows = [(i, f"a line that stands in two documents {i // 2}") for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     assert sum(r.n_dropped for r in linededup.digests(df).collect()) == 1000
+
+
+def test_hot_line_over_many_segments_and_gatherings(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "FLUSH", 64)
+    monkeypatch.setattr(linededup, "ROW_KEYS", 16)
+    rng = random.Random(2)
+    rows = [(f"id{i:05d}", "\n".join(["the line of a third of all" if i % 3 == 0 else f"line of one document {i}", *(f"shared by some {rng.randrange(900)}" for _ in range(3))])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(11)
+    got = linededup.digests(df, size=(101, 1 << 10))
+    assert sorted(map(tuple, got.collect())) == sorted(brute(rows))
+
+
+def test_only_what_repeats_is_suspected(spark):
+    rows = [(i, "\n".join(f"line {k} of document {i}" for k in range(20)) + f"\nwhat two documents have {i // 2}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "cast(text as binary) text").repartition(6)
+    found = linededup.suspects(docs, linededup.filter_size(21_000)).collect()
+    assert 1000 <= len(found) < 1400  # of 21,000 lines
+
+
+def test_filter_grows_in_segments():
+    assert linededup.filter_size(0) == (1, linededup.SMALL)
+    assert linededup.filter_size(10**12) == (-(-(10**12) * linededup.BITS // linededup.LARGE), linededup.LARGE)
