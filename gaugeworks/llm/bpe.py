@@ -1,15 +1,22 @@
 """BPE encoding and decoding by tree concatenation.
 
-Ordinary text is cut by the pre-tokenizer into short pieces, and the merge
-engine encodes each on its own. A run that the pre-tokenizer leaves unsplit
-may be arbitrarily long. Such a run is cut into leaves that separate tasks
-encode in parallel; neighbouring encodings are then joined pairwise, level by
-level. At each join a window of ``w`` tokens from both sides is re-encoded and
-``w`` doubles until the window agrees with both sides.
-
-Agreement: a byte-pair encoding is canonical exactly if every two neighbouring
-tokens encode, as a pair, to themselves. A window agrees with a side if it
-ends in the side's own token there, or if that pair test holds across the seam.
+A text of over ``LEAF_CHARS`` is cut, wherever that falls, into leaves of so many
+characters, which separate tasks encode in parallel. Neighbouring encodings are
+then joined pairwise up a tree, ``FAN`` nodes to a task and level. At each join a
+window of both sides' text grows until both sides agree, and only what lies
+between the places where they do is encoded again.
+
+Agreement, in text: the pre-tokenizer always cuts after a letter before another
+character, after a digit before another character, and after any visible
+character before a blank or a digit that isn't of its kind. Whatever stands
+around such a place, what is left of it and what is right of it are encoded
+independently, so a side's own tokens hold up to there (unless a special token
+lies across it).
+
+Agreement, in a run that the pre-tokenizer leaves unsplit: a byte-pair encoding
+is canonical exactly if every two neighbouring tokens encode, as a pair, to
+themselves. A window of tokens agrees with a side if it ends in the side's own
+token there, or if that pair test holds across the seam.
 
 Defined results: null text counts as empty and gives no tokens; repeated rows
 each give their row; an empty table gives an empty table; only the id columns
@@ -28,16 +35,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, text_or_empty
+from .common import lean, materialise, text_or_empty
 
-#: Runs of so many characters without a cut are encoded as a tree.
-LEAF_CHARS = 4096
+#: Longer texts are encoded as a tree of leaves of so many characters.
+LEAF_CHARS = 8192
+#: Nodes that a task joins, pair by pair, into one of the next level.
+FAN = 16
+#: Between two places of agreement, so many characters are encoded again as they are; longer stretches piece by piece.
+STRETCH = 1024
 #: Texts whose tokens a worker holds at a time.
 SLICE = 256
 
 #: Fixed value: the pattern by which byte-level BPE cuts text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Places where every text is cut, whatever stands around them.
+CUTS = r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}])(?=\p{N})"
+
 
 def _byte_alphabet() -> dict[str, int]:
     """Byte-level vocabularies print visible Latin-1 bytes as themselves and the rest from U+0100 on."""
@@ -50,6 +64,8 @@ class Codec:
     """Encoder and decoder for one byte-level BPE definition in the tokenizers JSON format."""
 
     def __init__(self, definition: bytes):
+        import numpy as np
+        import regex
         import tiktoken
 
         spec = json.loads(definition)
@@ -63,7 +79,10 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.core = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens=self.special)
         self.decimal = [str(i) for i in range(self.core.n_vocab)]
-        self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.length = np.array([len(self.core.decode_single_token_bytes(i)) if i in ids else 0 for ids in [{*vocab.values(), *self.special.values()}] for i in range(self.core.n_vocab)])
+        self._special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
+        self._margin = max(map(len, self.special), default=0)
+        self._cuts, self._pieces = regex.compile(CUTS), regex.compile(PATTERN)
 
     def encode(self, text: str) -> list[int]:
         return self.core.encode(text, allowed_special="all", disallowed_special=())
@@ -78,15 +97,8 @@ class Codec:
     def bytes_of(self, ids: Sequence[int]) -> bytes:
         return self.core.decode_bytes(ids)
 
-    def segments(self, text: str) -> list[tuple[str, bool]]:
-        """(text, is special token) in order."""
-        parts = self._special.split(text) if self._special else [text]
-        return [(part, part in self.special) for part in parts if part]
-
     def pieces(self, text: str) -> list[str]:
-        import regex
-
-        return regex.findall(PATTERN, text)
+        return self._pieces.findall(text)
 
     def _agree(self, left: int, right: int) -> bool:
         return self.piece(self.bytes_of([left, right])) == [left, right]
@@ -104,11 +116,87 @@ class Codec:
                 return a[:i] + middle + b[j:]
             window *= 2
 
-    def join_all(self, leaves: list[list[int]]) -> list[int]:
-        """Balanced tree of joins."""
-        while len(leaves) > 1:
-            leaves = [self.join(*leaves[i : i + 2]) if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
-        return leaves[0] if leaves else []
+    def _places(self, text: str, seam: int, first: bool, last: bool) -> tuple[int | None, int | None]:
+        """The last place of agreement up to the seam and the first one from it on; first, last: the text begins, ends with its side."""
+
+        def holds(p: int) -> bool:
+            m = self._margin
+            if (p < m and not first) or (len(text) - p < m and not last):
+                return False  # a special token might lie across it and reach out of the window
+            return not m or not any(found.start() < p < found.end() for found in self._special.finditer(text, max(0, p - m + 1), p + m - 1))
+
+        left, right = 0 if first else None, None
+        for found in self._cuts.finditer(text):
+            p = found.start()
+            if p <= seam and (left is None or p > left) and holds(p):
+                left = p
+            if p >= seam and holds(p):
+                right = p
+                break
+        return left, len(text) if right is None and last else right
+
+    def join_texts(self, a, b):
+        """a, b: ids of two texts, as arrays. Those of the text of both."""
+        import numpy as np
+
+        if not len(a) or not len(b):
+            return np.concatenate([a, b])
+        window = 16
+        while True:
+            i, j = max(0, len(a) - window), min(len(b), window)
+            # a token may begin or end within a character; at the seam none does
+            before, after = (self.bytes_of(x.tolist()).decode("utf-8", "ignore") for x in (a[i:], b[:j]))
+            left, right = self._places(before + after, len(before), i == 0, j == len(b))
+            if left is not None and right is not None:
+                break
+            window *= 2
+        before, after = before[left:], after[: right - len(before)]
+        i = len(a) - self._tokens(a[::-1], len(before.encode()))
+        j = self._tokens(b, len(after.encode()))
+        return np.concatenate([a[:i], self._between(before, after, a[i:].tolist(), b[:j].tolist()), b[j:]])
+
+    def _tokens(self, ids, size: int) -> int:
+        """How many of the first ids make up so many bytes."""
+        import numpy as np
+
+        if not size:
+            return 0
+        found = np.cumsum(self.length[ids[:size]])
+        n = int(np.searchsorted(found, size)) + 1
+        if n > len(found) or found[n - 1] != size:
+            raise ValueError("a token lies across a place where text is always cut")
+        return n
+
+    def _between(self, before: str, after: str, a: list[int], b: list[int]):
+        """The ids of before + after, given those of either."""
+        import numpy as np
+
+        if not before or not after:
+            return np.array(a + b, np.int32)
+        text = before + after
+        if len(text) <= STRETCH or self._special and self._special.search(text):
+            return np.array(self.encode(text), np.int32)
+        whole, own, other = self.pieces(text), self.pieces(before), self.pieces(after)
+        k = m = 0
+        while k < len(own) and whole[k] == own[k]:
+            k += 1
+        while m < min(len(other), len(whole) - k) and whole[-1 - m] == other[-1 - m]:
+            m += 1
+        i = self._tokens(np.array(a), len("".join(whole[:k]).encode()))
+        j = len(b) - self._tokens(np.array(b[::-1]), len("".join(whole[len(whole) - m :]).encode()))
+        if len(own) - k == len(other) - m == len(whole) - k - m == 1:  # one run goes on across the seam
+            middle = self.join(a[i:], b[:j])
+        else:
+            middle = [t for piece in whole[k : len(whole) - m] for t in self.piece(piece.encode())]
+        return np.array(a[:i] + middle + b[j:], np.int32)
+
+    def join_all(self, nodes: list):
+        """Balanced tree of joins over the ids of successive texts."""
+        import numpy as np
+
+        while len(nodes) > 1:
+            nodes = [self.join_texts(*nodes[i : i + 2]) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
+        return nodes[0] if nodes else np.empty(0, np.int32)
 
 
 _codecs: dict[str, Codec] = {}
@@ -163,10 +251,8 @@ def encode_decode(df: DataFrame, id_cols: Sequence[str], text_col: str, tokenize
         definition = spark.sparkContext.broadcast(f.read())
     schema = _out_schema(df, id_cols, outputs)
     arrow = _arrow(schema)
-    text = text_or_empty(text_col)
-    # looked for from the starts of runs only, so that the search is linear
-    unsplit = (F.length(text) >= leaf_chars) & F.rlike(text, F.lit(rf"(?U)(?<!\S)\S{{{leaf_chars}}}|(?<!\s)\s{{{leaf_chars}}}"))
-    rows = df.select(*[F.col(c).alias(f"_id{i}") for i, c in enumerate(id_cols)], text.alias("_text"), unsplit.alias("_unsplit"))
+    rows = df.select(*[F.col(c).alias(f"_id{i}") for i, c in enumerate(id_cols)], text_or_empty(text_col).alias("_text"))
+    long = F.length("_text") > leaf_chars
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(definition)
@@ -176,82 +262,57 @@ def encode_decode(df: DataFrame, id_cols: Sequence[str], text_col: str, tokenize
                 found = [_result(codec, codec.encode(t), outputs) for t in part.column(len(id_cols)).to_pylist()]
                 yield _batch(arrow, part, found, id_cols)
 
-    short = rows.filter(~F.col("_unsplit")).drop("_unsplit").mapInArrow(lean(whole), schema)
-    return short.unionByName(_encode_unsplit(rows.filter("_unsplit").drop("_unsplit"), len(id_cols), definition, schema, outputs, leaf_chars))
+    short = rows.filter(~long).mapInArrow(lean(whole), schema)
+    # written, so that a text keeps its number whatever is computed again
+    held = materialise(rows.filter(long).withColumn("_row", F.monotonically_increasing_id()), "bpe-long")
+    longest = held.agg(F.max(F.length("_text"))).first()[0]
+    return short if longest is None else short.unionByName(_encode_tree(held, len(id_cols), definition, schema, outputs, leaf_chars, longest))
 
 
-def _encode_unsplit(rows: DataFrame, n_ids: int, definition, schema: T.StructType, outputs: bool, leaf_chars: int) -> DataFrame:
-    """Leaves of one text go to many tasks; their encodings meet again by text."""
+def _encode_tree(rows: DataFrame, n_ids: int, definition, schema: T.StructType, outputs: bool, leaf_chars: int, longest: int) -> DataFrame:
+    """Leaves of a text go to many tasks; their encodings meet again level by level."""
     arrow = _arrow(schema)
-    id_fields = rows.schema.fields[:n_ids]
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
-    leaf_schema = T.StructType([*id_fields, T.StructField("_row", T.LongType()), T.StructField("_piece", T.LongType()), T.StructField("_leaf", T.LongType()), T.StructField("_data", T.BinaryType())])
-    part_schema = T.StructType(leaf_schema.fields[:-1] + [T.StructField("_ids", T.BinaryType())])
-    names = leaf_schema.names
+    node = "_row long, _node long, _ids binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of (piece, leaf, bytes); leaf -1: pieces that lie between long runs, as text; -2: a special token."""
-        codec = _codec(definition)
-        out = _arrow(leaf_schema)
         for batch in batches:
-            ids = [batch.column(i).to_pylist() for i in range(n_ids)]
-            for r, (text, row) in enumerate(zip(batch.column(n_ids).to_pylist(), batch.column(n_ids + 1).to_pylist(), strict=True)):
-                leaves: list[tuple[int, int, bytes]] = []
-                for segment, special in codec.segments(text):
-                    if special:
-                        leaves.append((len(leaves), -2, segment.encode()))
-                        continue
-                    between: list[str] = []
-                    for piece in [*codec.pieces(segment), None]:
-                        if piece is not None and len(piece) < leaf_chars:
-                            between.append(piece)
-                            continue
-                        if between:
-                            leaves.append((len(leaves), -1, "\0".join([str(len(p)) for p in between]).encode() + b"\1" + "".join(between).encode()))
-                            between = []
-                        if piece is not None:
-                            n, data = len(leaves), piece.encode()
-                            leaves += [(n, k, data[at : at + leaf_chars]) for k, at in enumerate(range(0, len(data), leaf_chars))]
-                for at in range(0, len(leaves), 4096):
-                    part = leaves[at : at + 4096]
-                    columns = [[col[r]] * len(part) for col in ids] + [[row] * len(part), [x[0] for x in part], [x[1] for x in part], [x[2] for x in part]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], names=names)
+            for text, row in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                text = text.as_py()
+                for low in range(0, len(text), leaf_chars * 256):
+                    leaves = [text[at : at + leaf_chars] for at in range(low, min(low + leaf_chars * 256, len(text)), leaf_chars)]
+                    first = low // leaf_chars
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(leaves)), pa.array(range(first, first + len(leaves)), pa.int64()), pa.array(leaves)], names=["_row", "_node", "_text"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         codec = _codec(definition)
         for batch in batches:
-            coded = []
-            for leaf, data in zip(batch.column("_leaf").to_pylist(), batch.column("_data").to_pylist(), strict=True):
-                if leaf == -2:
-                    ids = [codec.special[data.decode()]]
-                elif leaf == -1:
-                    head, _, body = data.partition(b"\1")
-                    text, at, ids = body.decode(), 0, []
-                    for n in map(int, head.split(b"\0")):
-                        ids += codec.piece(text[at : at + n].encode())
-                        at += n
-                else:
-                    ids = codec.piece(data)
-                coded.append(np.asarray(ids, "<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(coded, pa.binary())], names=part_schema.names)
-
-    def merge(table: pa.Table) -> pa.Table:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                coded = [np.asarray(codec.encode(t), "<i4").tobytes() for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(coded, pa.binary())], names=["_row", "_node", "_ids"])
+
+    def join(key: tuple, table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        table = table.sort_by("_node")
+        nodes = [np.frombuffer(x.as_py(), "<i4") for x in table.column("_ids")]
+        ids = _codec(definition).join_all(nodes)
+        return pa.table([pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), pa.array([ids.astype("<i4").tobytes()], pa.binary())], names=["_row", "_node", "_ids"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         codec = _codec(definition)
-        table = table.sort_by([("_piece", "ascending"), ("_leaf", "ascending")])
-        ids: list[int] = []
-        run: list[list[int]] = []
-        last = None
-        for piece, data in zip(table.column("_piece").to_pylist(), table.column("_ids").to_pylist(), strict=True):
-            if piece != last:
-                ids += codec.join_all(run)
-                run, last = [], piece
-            run.append(np.frombuffer(data, "<i4").tolist())
-        ids += codec.join_all(run)
-        return pa.Table.from_batches([_batch(arrow, table.slice(0, 1), [_result(codec, ids, outputs)], arrow.names[:n_ids])])
-
-    parts = keyed.mapInArrow(lean(cut), leaf_schema).repartition("_row", "_piece", "_leaf").mapInArrow(lean(encode), part_schema)
-    return parts.groupBy("_row").applyInArrow(merge, schema)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                ids = np.frombuffer(batch.column(n_ids)[at].as_py(), "<i4").tolist()
+                yield _batch(arrow, batch.slice(at, 1), [_result(codec, ids, outputs)], arrow.names[:n_ids])
+
+    parts = rows.select("_text", "_row").mapInArrow(lean(cut), "_row long, _node long, _text string").repartition("_row", "_node").mapInArrow(lean(encode), node)
+    nodes = -(-longest // leaf_chars)
+    while nodes > 1:
+        parts = parts.groupBy("_row", F.floor(F.col("_node") / FAN).alias("_up")).applyInArrow(join, node)
+        nodes = -(-nodes // FAN)
+    return rows.drop("_text").join(parts.select("_row", "_ids"), "_row").drop("_row").mapInArrow(lean(finish), schema)
