@@ -1,6 +1,7 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-Texts become letters in lower case with single blanks between words. Every
+Texts become letters in lower case and the marks that belong to them, with
+single blanks between words. Every
 language has an order-``ORDER`` model of these characters: raw counts at the top
 order, continuation counts below, one absolute discount an order, interpolated
 down to the uniform distribution. All languages share one sorted array of
@@ -14,8 +15,12 @@ letters but none of its order. A text is rejected if it has no letter or if its
 best cross-entropy lies past the middle between the two medians of its
 language, plus an allowance for short texts that shrinks as 1/sqrt(letters).
 
-Bounded sample (a classifier's): about ``SAMPLE_DOCS`` whole documents a
-language, drawn by a hash of the id. Languages' document counts cover all rows.
+Bounded sample (a classifier's): about ``SAMPLE_DOCS`` documents a language,
+drawn by a hash of the id, of each a stretch of at most ``SAMPLE_CHARS``
+characters (``CALIBRATE_CHARS`` for calibration), its place drawn by a hash of
+the text. Languages' document counts cover all rows. The model depends on the
+sampled rows only, not on their order. Scored are whole texts, ``CHUNK``
+characters at a time; a text's result doesn't depend on what is scored beside it.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0
 and rejected; ties between languages go to the first in alphabetical order;
@@ -25,6 +30,7 @@ repeated rows each give their row; without any labelled text every result is
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -42,45 +48,47 @@ SAMPLE_DOCS = 600
 CALIBRATE = 4
 #: The allowance of a text of one letter, in nats.
 SHORT = 2.0
+#: Characters of a sampled document, for the counts and for calibration.
+SAMPLE_CHARS, CALIBRATE_CHARS = 1 << 16, 1 << 12
 #: Characters that a worker scores at a time.
 CHUNK = 1 << 18
-#: Characters of a text that the score's confidence counts at most.
-SCORE_CHARS = 40
+#: How fast the score's confidence grows with the root of the letters' number.
+CONFIDENCE = 4.0
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_letters: np.ndarray | None = None
+_tables: tuple[np.ndarray, np.ndarray] | None = None
 
 
-def _letter_table() -> np.ndarray:
-    """Code point to its lower case if it is a letter or a mark within words, to a blank if not."""
-    global _letters
-    if _letters is None:
-        table = np.full(0x110000, 32, np.uint32)
+def _letter_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Code point to its lower case if it is a letter, to itself if it is a mark within words, to a blank if neither; and which are letters."""
+    global _tables
+    if _tables is None:
+        table, letter = np.full(0x110000, 32, np.uint32), np.zeros(0x110000, bool)
         for cp in range(0x110000):
             c = chr(cp)
             if c.isalpha():
-                low = c.lower()
-                table[cp] = ord(low[0])
-        _letters = table
-    return _letters
+                table[cp] = ord(c.lower()[0])
+                letter[cp] = letter[table[cp]] = True
+            elif unicodedata.category(c) in ("Mn", "Mc"):
+                table[cp] = cp
+        _tables = table, letter
+    return _tables
+
+
+_PAD = np.full(ORDER - 1, 32, np.uint32)
+
+
+def _after(before: np.ndarray, text: str) -> np.ndarray:
+    """before, the ORDER - 1 characters so far, and the text's own."""
+    x = _letter_tables()[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    gap = x == 32
+    return np.concatenate([before, x[~(gap & np.concatenate([before[-1:] == 32, gap[:-1]]))]]) if len(x) else before
 
 
 def normalise(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' characters, ORDER - 1 blanks before each text, single blanks between words; and where texts end."""
-    table = _letter_table()
-    parts, ends, at = [], [], 0
-    pad = np.full(ORDER - 1, 32, np.uint32)
-    for text in texts:
-        x = table[np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)]
-        if len(x):
-            gap = x == 32
-            gap[1:] &= gap[:-1].copy()
-            gap[0] = x[0] == 32
-            x = x[~gap]
-        parts += [pad, x]
-        at += len(pad) + len(x)
-        ends.append(at)
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), np.asarray(ends, np.int64)
+    parts = [_after(_PAD, text or "") for text in texts]
+    return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), np.cumsum([len(p) for p in parts], dtype=np.int64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -126,26 +134,36 @@ class Model:
 
     def cross_entropy(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Per text: its letters' count, and nats a character by language."""
-        x, ends = normalise(texts)
-        if not len(ends):
-            return np.empty(0, np.int64), np.empty((0, len(self.languages)))
+        letters, total, n = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        whole = [i for i, t in enumerate(texts) if len(t or "") <= CHUNK]
+        if whole:
+            letters[whole], total[whole], n[whole] = self._sums(*normalise([texts[i] for i in whole]))
+        for i in set(range(len(texts))).difference(whole):  # a very long text, piece by piece
+            before = _PAD
+            for at in range(0, len(texts[i]), CHUNK):
+                x = _after(before, texts[i][at : at + CHUNK])
+                a, b, c = self._sums(x, np.array([len(x)]))
+                letters[i] += a[0] - _letter_tables()[1][x[: ORDER - 1]].sum()
+                total[i] += b[0]
+                n[i] += c[0]
+                before = x[len(x) - (ORDER - 1) :]
+        return letters, -total / np.maximum(n, 1)[:, None]
+
+    def _sums(self, x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each stretch of ORDER - 1 characters and those after them: letters, log probabilities by language, characters."""
         starts = np.concatenate([[0], ends[:-1]])
-        letters = np.add.reduceat((x != 32).astype(np.int64), starts)
+        letters = np.add.reduceat(_letter_tables()[1][x].astype(np.int64), starts)
         at, there = _find(self.grams[-1], gram_hashes(x, ORDER))
-        scores = self.top[at]
+        scores = np.zeros((len(x), len(self.languages)))
+        own = scores[ORDER - 1 :]
+        own[:] = self.top[at]
         if not there.all():
             rare = np.flatnonzero(~there)
-            codes = np.stack([x[rare + i] for i in range(ORDER)], axis=1)
-            scores[rare] = self.log_probability(codes)
-        # the first ORDER - 1 positions of a text are its pad; a gram is counted at its last character
-        total = np.zeros((len(x) + 1, len(self.languages)))
-        flat = np.zeros((len(x), len(self.languages)))
-        flat[ORDER - 1 :] = scores
+            own[rare] = self.log_probability(np.stack([x[rare + i] for i in range(ORDER)], axis=1))
+        # a gram is counted at its last character; the first ORDER - 1 end none of their stretch
         for i in range(ORDER - 1):
-            flat[starts + i] = 0.0
-        np.cumsum(flat, axis=0, out=total[1:])
-        n = ends - starts - (ORDER - 1)
-        return letters, -(total[ends] - total[starts]) / np.maximum(n, 1)[:, None]
+            scores[starts + i] = 0.0
+        return letters, np.add.reduceat(scores, starts, axis=0), ends - starts - (ORDER - 1)
 
 
 def _row_hashes(codes: np.ndarray) -> np.ndarray:
@@ -208,15 +226,18 @@ def learn(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     if not sizes:
         return None
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample_docs / n)))])
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.filter(draw < share[F.col("lang")]).distinct()  # rows that repeat count once
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    calibrates = F.pmod(F.xxhash64(F.col("text"), F.lit("calibrate")), F.lit(CALIBRATE)) == 0
+    chars = F.when(calibrates, CALIBRATE_CHARS).otherwise(SAMPLE_CHARS)
+    first = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
+    sample = rows.filter(draw < share[F.col("lang")]).select("id", calibrates.alias("calibrates"), F.substring("text", first, chars).alias("text"), "lang").distinct()  # rows that repeat count once
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every n-gram's count by language; a document in CALIBRATE is passed on whole instead."""
+        """Every n-gram's count by language; one that calibrates is passed on instead."""
         found: dict[str, dict[bytes, int]] = {}
         for batch in batches:
             for i, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if i % CALIBRATE == 0:
+                if i:
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([b""], pa.binary()), pa.array([text]), pa.array([1], pa.int64())], names=["lang", "gram", "text", "n"])
                     continue
                 x, _ = normalise([text])
@@ -229,8 +250,7 @@ def learn(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         for lang, own in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own), pa.binary()), pa.array([None] * len(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "gram", "text", "n"])
 
-    draw_id = F.pmod(F.xxhash64(F.col("text"), F.lit("calibrate")), F.lit(1 << 20)).cast("long")
-    gathered = sample.select(draw_id, "text", "lang").mapInArrow(lean(count), "lang string, gram binary, text string, n long")
+    gathered = sample.select("calibrates", "text", "lang").mapInArrow(lean(count), "lang string, gram binary, text string, n long")
     table = gathered.groupBy("lang", "gram", "text").agg(F.sum("n").alias("n")).toArrow()
     langs, grams, texts, n = (table.column(c).to_pylist() for c in ("lang", "gram", "text", "n"))
     by_lang: dict[str, list[int]] = {}
@@ -250,6 +270,9 @@ def learn(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
                 counts[lang] = (counts[lang][0], counts[lang][1].astype(float))
     if not counts:
         return None
+    for lang, (codes, number) in counts.items():  # in an order of their own, as sums of shares depend on it
+        order = np.lexsort(codes.T[::-1])
+        counts[lang] = codes[order], number[order]
     model = build(counts)
     _calibrate(model, {lang: [texts[i] for i in at if texts[i] is not None] for lang, at in by_lang.items() if lang in counts})
     return model
@@ -260,11 +283,11 @@ def _calibrate(model: Model, texts: dict[str, list[str]]) -> None:
     rng = np.random.default_rng(0)
     model.limit = np.full(len(model.languages), np.log(model.vocabulary))
     for k, lang in enumerate(model.languages):
-        own = texts.get(lang, [])
+        own = sorted(texts.get(lang, []))
         letters, h = model.cross_entropy(own)
         at = np.flatnonzero(letters >= 20)
         if len(at):
-            shuffled = ["".join(rng.permutation(list(own[i].lower()))) for i in at[:100].tolist()]
+            shuffled = ["".join(rng.permutation(list(own[i].lower()))) for i in at.tolist()]
             model.limit[k] = (np.median(h[at, k]) + np.median(model.cross_entropy(shuffled)[1][:, k])) / 2
 
 
@@ -275,7 +298,7 @@ def predict(model: Model, texts: Sequence[str | None]) -> tuple[list[str], np.nd
         return [], np.empty(0), np.empty(0, bool), np.empty(0)
     best = h.argmin(axis=1)
     lowest = h[np.arange(len(h)), best]
-    odds = np.exp(-(h - lowest[:, None]) * np.clip(letters, 1, SCORE_CHARS)[:, None])
+    odds = np.exp(-(h - lowest[:, None]) * CONFIDENCE * np.sqrt(letters)[:, None])
     score = np.where(letters > 0, 1 / odds.sum(axis=1), 0.0)
     rejected = (letters == 0) | (lowest > model.limit[best] + SHORT / np.sqrt(np.maximum(letters, 1)))
     langs = [model.languages[k] if n else "und" for k, n in zip(best.tolist(), letters.tolist(), strict=True)]

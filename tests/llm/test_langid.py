@@ -95,3 +95,58 @@ def test_nothing_to_learn_from(spark):
     assert langid.identify(empty, langid.learn(empty), ["doc_id"], "text").collect() == []
     tiny = spark.createDataFrame([(1, "a", "xx"), (2, "a", "xx")], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in langid.identify(tiny, langid.learn(tiny), ["doc_id"], "text").collect()] == ["xx", "xx"]
+
+
+def model_of(n=120):
+    counts = {}
+    rng = random.Random(4)
+    for lang in SYLLABLES:
+        x, _ = langid.normalise([text(lang, rng, 200)])
+        rows_, times = np.unique(np.stack([x[k : len(x) - langid.ORDER + 1 + k] for k in range(langid.ORDER)], axis=1), axis=0, return_counts=True)
+        counts[lang] = (rows_, times.astype(float))
+    return langid.build(counts)
+
+
+def test_a_texts_values_are_its_own(monkeypatch):
+    model, rng = model_of(), random.Random(6)
+    probe = text("aa", rng, 30)
+    alone = model.cross_entropy([probe])[1][0]
+    for k in range(30):
+        around = [text(rng.choice(list(SYLLABLES)), rng, rng.randint(0, 200)) for _ in range(rng.randint(0, 9))]
+        assert np.array_equal(model.cross_entropy([*around, probe, *around[:k]])[1][len(around)], alone)
+
+
+def test_long_texts_go_piece_by_piece(monkeypatch):
+    model, rng = model_of(), random.Random(7)
+    texts = [text("bb", rng, 300) + "   \n" * 9 + text("bb", rng, 90), "über" * 500, " " * 900, "", "x", None]
+    letters, h = model.cross_entropy(texts)
+    for chunk in (1, 2, 7, 64):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        again = model.cross_entropy(texts)
+        assert np.array_equal(again[0], letters) and np.allclose(again[1], h, rtol=1e-12)
+    assert letters[2] == 0 and letters[1] == 2000
+
+
+def test_a_very_long_text_needs_bounded_memory():
+    import tracemalloc
+
+    model = model_of()
+    long = "bako tinu share " * 1_900_000  # 30 million characters
+    tracemalloc.start()
+    letters, _ = model.cross_entropy([long])
+    assert letters[0] == 1_900_000 * 13 and tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+
+
+def test_models_depend_on_the_rows_only(spark):
+    df = spark.createDataFrame(rows(400), "doc_id long, text string, lang string, score string")
+    models = [langid.learn(df.repartition(n).orderBy(order)) for n, order in ((1, "doc_id"), (7, "text"), (3, "lang"))]
+    for m in models[1:]:
+        assert np.array_equal(m.limit, models[0].limit) and np.array_equal(m.top, models[0].top)
+
+
+def test_marks_belong_to_words():
+    x, _ = langid.normalise(["हिन्दी की"])
+    assert "".join(map(chr, x))[langid.ORDER - 1 :] == "हिन्दी की"
+    model = model_of()
+    assert model.cross_entropy(["\u0301\u0301 !"])[0][0] == 0
