@@ -12,9 +12,10 @@
    to its smallest only, and connected buckets make a candidate group.
 4. Within a candidate group all pairs are compared exactly: weighted Jaccard of
    at least ``SIMILARITY`` is a link, in whole numbers, so results don't depend on
-   summation order. Groups of up to ``BLOCK`` texts are compared in one task. Larger
-   ones are dealt into blocks that meet rounds of about ``BLOCK`` pivots: first some
-   of all texts, then all texts outside the group's largest class. Afterwards
+   summation order. Groups of up to ``GROUP`` texts are compared in one task. Larger
+   ones are dealt into blocks that meet rounds of pivots: about ``PIVOTS`` of all
+   texts first, which join most of a group of near copies, then up to ``BLOCK`` a
+   round of all texts outside the group's largest class. Afterwards
    each pair has been compared or is joined already, so no link is lost and no
    task holds a group. N texts outside the largest class take about N / ``BLOCK``
    rounds, each of which reads the whole group.
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, materialise, text_or_empty
@@ -46,8 +47,10 @@ DF_BITS = 20
 COMMON, IDF_FLOOR = 0.1, 0.75
 #: Weights are whole multiples of 1 / UNIT.
 UNIT = 64
-#: Texts and shingles of a group that one task compares.
-BLOCK, BLOCK_FEATURES = 4096, 4_000_000
+#: Texts and shingles of a group that one task compares; larger groups are dealt into blocks of about as many.
+GROUP, GROUP_FEATURES = 4096, 4_000_000
+#: Pivots of a group in the first round, and in a later one.
+PIVOTS, BLOCK = 4096, 4096
 #: Texts that hold a feature for it to be compared by pairs; rows compared at a time.
 FEW, ROW_BLOCK = 24, 512
 #: Rows of the tables from which a shingle draws its random numbers.
@@ -226,8 +229,8 @@ class Sampler:
         return out
 
 
-def links(features: list[np.ndarray], weights: list[np.ndarray], pivots: int) -> np.ndarray:
-    """Pairs (i, j), i < pivots, i < j, of texts whose weighted Jaccard similarity reaches SIMILARITY.
+def links(features: list[np.ndarray], weights: list[np.ndarray], pivots: int, first: int = 0) -> np.ndarray:
+    """Pairs (i, j), i < pivots, i < j, first <= j, of texts whose weighted Jaccard similarity reaches SIMILARITY.
 
     features: sorted hashes of a text; a feature weighs the same in every text.
     Only features of several texts count towards what two texts share: rare ones
@@ -254,6 +257,7 @@ def links(features: list[np.ndarray], weights: list[np.ndarray], pivots: int) ->
             break
         rare.append(np.stack([t[at], t[at + step], weight[f[at]]]))
     rare = np.concatenate(rare, axis=1)
+    rare = rare[:, rare[1] >= first]
     rare = rare[:, np.argsort(rare[0], kind="stable")]
 
     many = np.flatnonzero(times > FEW)
@@ -266,16 +270,17 @@ def links(features: list[np.ndarray], weights: list[np.ndarray], pivots: int) ->
     for low in range(0, pivots, ROW_BLOCK):
         high = min(low + ROW_BLOCK, pivots)
         a, b = np.searchsorted(rare[0], [low, high])
-        shared = np.bincount((rare[0, a:b] - low) * m + rare[1, a:b], weights=rare[2, a:b], minlength=(high - low) * m).astype(exact).reshape(high - low, m)
+        width = m - first
+        shared = np.bincount((rare[0, a:b] - low) * width + rare[1, a:b] - first, weights=rare[2, a:b], minlength=(high - low) * width).astype(exact).reshape(high - low, width)
         for at in range(0, len(many), 1024):
             a, b = np.searchsorted(columns, [at, at + 1024])
             x = np.zeros((m, min(1024, len(many) - at)), exact)
             x[rows[a:b], columns[a:b] - at] = 1
-            shared += (x[low:high] * weight[many[at : at + 1024]].astype(exact)) @ x.T
-        union = size[low:high, None] + size[None, :] - shared
+            shared += (x[low:high] * weight[many[at : at + 1024]].astype(exact)) @ x[first:].T
+        union = size[low:high, None] + size[None, first:] - shared
         linked = shared * SIMILARITY[1] >= union * SIMILARITY[0]
-        linked &= np.arange(m)[None, :] > np.arange(low, high)[:, None]
-        found.append(np.argwhere(linked) + [low, 0])
+        linked &= np.arange(first, m)[None, :] > np.arange(low, high)[:, None]
+        found.append(np.argwhere(linked) + [low, first])
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
@@ -344,7 +349,8 @@ def _compare_pivots(vectors: DataFrame, pivots: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, ["root", "block"]):
             n = sum(r["member"] == 0 for r in rows)
-            found = spanning(links(*_vectors(rows), n), len(rows)) if n else []
+            # pivots meet each other as members of blocks
+            found = spanning(links(*_vectors(rows), n, first=n), len(rows)) if n else []
             if found:
                 yield _edge_batch([r["key"] for r in rows], found)
 
@@ -363,9 +369,10 @@ def _compare_large(vectors: DataFrame) -> DataFrame:
         largest = sizes.groupBy("root").agg(F.max(F.struct("n", "class")).alias("top")).select("root", F.col("top.class").alias("largest"))
         open_ = labels.join(largest, "root").filter(F.lit(True) if turn == 0 else F.col("class") != F.col("largest")).join(done, "key", "left_anti").select("root", "key")
         left = open_.groupBy("root").agg(F.count("*").alias("open"))
-        # about BLOCK of a group's open texts, drawn afresh every round: an old draw has used up the texts that it favours
+        want = BLOCK if turn else PIVOTS
+        # about so many of a group's open texts, drawn afresh every round: an old draw has used up the texts that it favours
         draw = F.pmod(F.xxhash64("key", F.lit("pivot"), F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        chosen = open_.join(left, "root").filter((F.col("open") <= BLOCK) | (draw <= F.lit(float(BLOCK)) / F.col("open"))).select("key")
+        chosen = open_.join(left, "root").filter((F.col("open") <= want) | (draw <= F.lit(float(want)) / F.col("open"))).select("key")
         chosen = materialise(chosen, "pivots")
         if chosen.isEmpty():
             if open_.isEmpty():
@@ -383,10 +390,18 @@ def _labelled(groups: DataFrame, roots: DataFrame) -> DataFrame:
     return materialise(groups.join(named, "key", "left").select("root", "key", F.coalesce("class", "key").alias("class")), "labels")
 
 
+def _key(text_col: str) -> Column:
+    return F.unhex(F.md5(text_or_empty(text_col).cast("binary")))
+
+
 def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: its id, class_id (the class's smallest id), class_size (its rows)."""
-    docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    keyed = docs.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    return _members(*_classes_of_texts(df, id_col, text_col), id_col)
+
+
+def _classes_of_texts(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of id, key (of the text); rows of key, class for texts that are like another."""
+    keyed = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), _key(text_col).alias("key"))
     members = materialise(keyed.select("id", "key"), "members")
     units = materialise(keyed.select("key", "text").dropDuplicates(["key"]), "texts")
     spark = df.sparkSession
@@ -430,13 +445,12 @@ def classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     vectors = units.join(named.hint("shuffle_merge"), "key").select("root", "key", "text").mapInArrow(lean(vectorise), "root binary, key binary, features binary, weights binary, n long")
     vectors = materialise(vectors, "vectors")
     sizes = vectors.groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
-    blocks = F.ceil(F.greatest(F.col("texts") / BLOCK, F.col("n") / BLOCK_FEATURES)).cast("long")
+    blocks = F.ceil(F.greatest(F.col("texts") / GROUP, F.col("n") / GROUP_FEATURES)).cast("long")
     large = materialise(sizes.withColumn("blocks", blocks).filter("blocks > 1").select("root", "blocks"), "large-groups")
     edges = _compare_groups(vectors.join(large, "root", "left_anti"))
     if not large.isEmpty():
         edges = edges.unionByName(_compare_large(materialise(vectors.join(large, "root"), "large-vectors")))
-    roots = components(edges, "classes").select(F.col("node").alias("key"), F.col("root").alias("class"))
-    return _members(members, roots, id_col)
+    return members, components(edges, "classes").select(F.col("node").alias("key"), F.col("root").alias("class"))
 
 
 def _members(members: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
@@ -444,17 +458,28 @@ def _members(members: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
     per_text = members.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
     texts = per_text.join(roots, "key", "left").withColumn("class", F.coalesce("class", "key"))
     per_class = texts.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"))
-    texts = texts.join(per_class, "class").select("key", "class_id", "class_size")
-    texts = texts.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    texts = texts.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(per_class.withColumn("salt", salts), ["class", "salt"])
+    texts = texts.select("key", "class_id", "class_size").withColumn("salt", salts)
     members = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     return members.join(texts, ["key", "salt"]).select(F.col("id").alias(id_col), "class_id", "class_size")
 
 
 def representatives(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id is their class's smallest, columns as they were; rows without an id stay if their class has no id at all."""
-    found = classes(df, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("_kept_id"), F.col("class_id").alias("_class_id"))
-    kept = found.filter(F.col("_kept_id").eqNullSafe(F.col("_class_id"))).select("_kept_id").distinct()
+    """One row of each class, columns as they were: that of its smallest id (null last), of equal ids that of the text with the smallest digest, of rows that repeat both any one."""
     inner = [f"_c{i}" for i in range(len(df.columns))]
     rows = df.toDF(*inner)
-    at = inner[df.columns.index(id_col)]
-    return rows.join(kept, F.col(at).eqNullSafe(F.col("_kept_id")), "left_semi").toDF(*df.columns)
+    at = dict(zip(df.columns, inner, strict=True))
+    members, roots = _classes_of_texts(df, id_col, text_col)
+    own = lambda key, i: F.md5(F.concat(key, F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit("null")).cast("binary")))
+    copies = members.groupBy("key", "id").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "n")).alias("first")
+    texts = copies.groupBy("key").agg(first).join(roots, "key", "left").select(F.coalesce("class", "key").alias("class"), "first.*")
+    kept = materialise(texts.groupBy("class").agg(first).select(own(F.col("first.key"), F.col("first.id")).alias("_own"), "first.n"), "representatives")
+    rows = rows.withColumn("_own", own(_key(at[text_col]), F.col(at[id_col])))
+    single = rows.join(kept.filter("n = 1"), "_own", "left_semi").select(*inner)
+    repeated = kept.filter("n > 1")
+    if not repeated.isEmpty():
+        copies = rows.join(repeated, "_own", "left_semi").groupBy("_own").agg(F.first(F.struct(*inner)).alias("row"))
+        single = single.unionByName(copies.select("row.*"))
+    return single.toDF(*df.columns)

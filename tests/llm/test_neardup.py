@@ -71,7 +71,8 @@ def brute(rows):
 
 @pytest.mark.parametrize("block", [2048, 6])
 def test_classes_match_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(neardup, "BLOCK", block)
+    for name in ("GROUP", "PIVOTS", "BLOCK"):
+        monkeypatch.setattr(neardup, name, block)
     rows = fixture()
     df = spark.createDataFrame([(*r, b"clash") for r in rows], "doc_id long, text string, key binary")
     got = sorted((tuple(r) for r in neardup.classes(df).collect()), key=str)
@@ -81,6 +82,7 @@ def test_classes_match_brute_force(spark, monkeypatch, block):
 def test_unlike_texts_of_a_large_group_take_few_rounds(spark, monkeypatch):
     block, n, rounds = 48, 480, []
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "PIVOTS", 12)
     compare = neardup._compare_pivots
 
     def counted(vectors, pivots):
@@ -108,6 +110,30 @@ def test_one_of_each_class_stays(spark):
     assert {r.doc_id for r in kept.collect()} == {c for _, c, _ in brute(rows)}
 
 
+A, B = "one text of more than five words stands here", "another that has nothing in common with the first one"
+NEAR = " ".join(f"w{i}" for i in range(60))
+
+
+@pytest.mark.parametrize(
+    "rows,expected",
+    [
+        ([(1, A), (None, A), (None, B)], {(1, A): 1, (None, B): 1}),
+        ([(1, A), (1, A), (1, A)], {(1, A): 1}),
+        ([(1, A), (1, B), (2, A)], {(1, A): 1, (1, B): 1}),
+        ([(0, NEAR), (1, NEAR + " x"), (1, A), (3, A)], {(0, NEAR): 1, (1, A): 1}),
+        ([(None, None), (None, ""), (None, A), (None, A)], {(None, ""): 1, (None, A): 1}),
+        ([(5, NEAR), (5, NEAR + " x"), (None, NEAR + " y")], None),
+    ],
+)
+def test_exactly_one_row_of_a_class_stays(spark, rows, expected):
+    kept = neardup.representatives(spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, key long")).collect()
+    found = Counter((r.doc_id, r.text or "") for r in kept)
+    if expected is None:
+        assert list(found.values()) == [1] and next(iter(found))[0] == 5
+    else:
+        assert dict(found) == expected
+
+
 def test_empty_table(spark):
     assert neardup.classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
