@@ -12,14 +12,18 @@ have the same two successive anchors at the same distance, and likeness is the
 share of common links in the larger fingerprint.
 
 All of it is DataFrame functions. ``near_next`` and the edit need each
-document's successor by descending id. Documents are dealt into ranges of ids,
-at most ``MAX_RANGES``, and a range's last document borrows the first one of
-the next range, so texts are shuffled once and no task sorts the whole table.
+document's successor by descending id. Documents are ordered by (id, hash of
+the text). A sort of these two alone, without texts, cuts the order into ranges
+of about ``RANGE_ROWS`` documents, at most ``MAX_RANGES``, whatever the ids'
+type and spread, and however many documents share one. A range's last document
+borrows the first one of the next range, so texts are shuffled once and no task
+sorts the whole table.
 
 Defined results: null text counts as empty; texts without symbols have the
 fingerprint of blanks and are like each other; a null id comes last; rows of
-equal id are ordered by text; a single document is its own successor; an
-empty table gives an empty table; other columns are not read.
+equal id are ordered by the hash of their text, then by text; a single document
+is its own successor; an empty table gives an empty table; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -27,12 +31,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import materialise, text_or_empty
 
 K, S = 5, 2
 SYMBOL_CHARS = 16
-#: Documents of a range at least, as long as there are fewer ranges than MAX_RANGES (so their table stays small to broadcast).
-RANGE_ROWS, MAX_RANGES = 2000, 100_000
+#: Documents of a range, about, as long as there are fewer ranges than MAX_RANGES (so their table stays small to broadcast).
+RANGE_ROWS, MAX_RANGES = 500, 50_000
+#: A range is found among all by two searches in lists of about so many.
+FAN = 224
 
 
 def with_anchors(df: DataFrame, text: str, prefix: str) -> DataFrame:
@@ -69,18 +75,40 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return with_anchors(rows, "_text", "_").select(F.col("_id").alias(id_col), F.col("_fingerprint").alias("fingerprint"))
 
 
+def _place() -> Column:
+    """What documents are ordered by, downwards; null ids are the smallest."""
+    return F.struct("id", "h")
+
+
+def _range_in(lows: Column, place: Column) -> Column:
+    """lows: the last places of successive ranges, downwards. Which of them a place belongs to."""
+    return F.size(F.filter(lows, lambda low: low > place))
+
+
+def ranges(df: DataFrame) -> DataFrame:
+    """df: id, h. One row a range: ``range`` from the largest place on, ``low`` (its last place) and ``head`` (its first)."""
+    narrow = materialise(df.select("id", "h"), "successors")
+    wanted = max(1, min(MAX_RANGES, -(-narrow.count() // RANGE_ROWS)))
+    dealt = narrow.select(_place().alias("place")).repartitionByRange(wanted, "place")
+    cut = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min("place").alias("low"), F.max("place").alias("head"))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col("low").desc())  # of one row a range
+    return materialise(cut.select((F.row_number().over(order) - 1).alias("range"), "low", "head"), "ranges")
+
+
 def with_successor(df: DataFrame) -> DataFrame:
-    """df: id, text. Adds a range and, marked ``borrowed``, copies of the rows that the range before needs."""
-    rows, low, high = df.agg(F.count("*"), F.min("id").cast("double"), F.max("id").cast("double")).first()
-    ranges = max(1, min(MAX_RANGES, -(-rows // RANGE_ROWS)))
-    width = ((high or 0.0) - (low or 0.0) + 1.0) / ranges
-    dealt = df.withColumn("range", F.coalesce(F.floor((F.col("id").cast("double") - F.lit(low or 0.0)) / F.lit(width)), F.lit(-1)))
-    heads = dealt.groupBy("range").agg(F.max("id").alias("head"))  # at most MAX_RANGES + 2 rows
-    whole = Window.partitionBy(F.lit(0)).orderBy(F.col("range").desc())
+    """df: id, text. Adds h (the text's hash), a range and, marked ``borrowed``, copies of the rows that the range before needs."""
+    df = df.withColumn("h", F.xxhash64("text"))
+    cut = ranges(df)
+    # a range is searched for among the last places of every FAN-th range, in one row, then among those of FAN ranges
+    steps = cut.groupBy(F.floor(F.col("range") / FAN).alias("step")).agg(F.sort_array(F.collect_list("low"), asc=False).alias("lows"))
+    ends = steps.agg(F.sort_array(F.collect_list(F.element_at("lows", -1)), asc=False).alias("ends"))
+    dealt = df.withColumn("place", _place()).join(F.broadcast(ends)).withColumn("step", _range_in(F.col("ends"), F.col("place")).cast("long")).drop("ends")
+    dealt = dealt.join(F.broadcast(steps), "step").withColumn("range", F.col("step") * FAN + _range_in(F.col("lows"), F.col("place"))).drop("lows", "step", "place")
+    whole = Window.partitionBy(F.lit(0)).orderBy("range")
     first = F.first("head").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    last = F.row_number().over(whole) == F.count("*").over(Window.partitionBy(F.lit(0)))
-    heads = heads.select("range", F.when(last, first).otherwise(F.lead("head").over(whole)).alias("head"))
-    borrowed = dealt.drop("range").join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("head"))).drop("head")
+    heads = cut.select("range", F.coalesce(F.lead("head").over(whole), first).alias("head"))
+    borrowed = dealt.drop("range").join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("head.id")) & (F.col("h") == F.col("head.h"))).drop("head")
+    borrowed = borrowed.groupBy("range").agg(F.min(F.struct("id", "text", "h")).alias("row")).select("row.*", "range")  # of equal places, the first
     return dealt.withColumn("borrowed", F.lit(False)).unionByName(borrowed.withColumn("borrowed", F.lit(True)))
 
 
@@ -88,7 +116,7 @@ def compare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """Each document's fingerprint beside that of its edited text: the last half replaced by the start of the next document."""
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     rows = with_anchors(with_successor(docs).repartition("range"), "text", "own_")
-    order = Window.partitionBy("range").orderBy("borrowed", F.col("id").desc_nulls_last(), "text")
+    order = Window.partitionBy("range").orderBy("borrowed", F.col("id").desc_nulls_last(), F.col("h").desc(), "text")
     rows = rows.withColumn("next", F.lead("text").over(order)).withColumn("next_links", F.lead("own_links").over(order)).filter("not borrowed")
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")

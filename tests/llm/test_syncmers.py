@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import xxhash
+
 from gaugeworks.llm import syncmers
 
 WORDS = ["alpha", "beta", "gamma", "delta", "Été", "日本", "x1", "the", "of", "and", "!!", "…"]
@@ -13,8 +15,14 @@ def fixture():
     return [*rows, (10**7, long), (10**7 + 1, long), (-5, None), (-6, ""), (-7, "a"), (-8, "z" * 9000), (17, "same id one"), (17, "same id two"), (None, "no id"), (None, "no id")]
 
 
+def place(row):
+    """Spark's xxhash64 is seeded with 42 and signed."""
+    h = xxhash.xxh64_intdigest((row[1] or "").encode(), 42)
+    return (row[0] is not None, row[0] if row[0] is not None else 0, h - (1 << 64) * (h >> 63))
+
+
 def brute(rows):
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
+    order = sorted(rows, key=place, reverse=True)
     out = []
     for n, (i, text) in enumerate(order):
         text, after = text or "", order[(n + 1) % len(order)][1] or ""
@@ -24,13 +32,33 @@ def brute(rows):
 
 
 def test_edits_and_successors(spark, monkeypatch):
-    for per_range in (2000, 7):
+    monkeypatch.setattr(syncmers, "FAN", 3)
+    for per_range in (2000, 7, 2):
         monkeypatch.setattr(syncmers, "RANGE_ROWS", per_range)
         df = spark.createDataFrame([(*r, "clash") for r in fixture()], "doc_id long, text string, next string")
         got = syncmers.compare(df).select("doc_id", "n_chars", "edited_sha256").collect()
         assert sorted(map(tuple, got), key=str) == brute(fixture())
 
 
+def test_ranges_hold_for_outliers_strings_and_hot_ids(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "RANGE_ROWS", 50)
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice(WORDS) for _ in range(20))
+    outlier = [(i, text()) for i in range(1500)] + [(10**18, text())]
+    hot = [(7 if i % 3 else i, text()) for i in range(1500)] + [(None, text()) for _ in range(700)]
+    strings = [(f"doc-{i}", text()) for i in range(1500)]
+    for rows, kind in ((outlier, "long"), (hot, "long"), (strings, "string")):
+        df = spark.createDataFrame(rows, f"id {kind}, text string")
+        dealt = syncmers.with_successor(df).filter("not borrowed").groupBy("range").count().collect()
+        assert len(dealt) >= len(rows) / 100 and max(r["count"] for r in dealt) <= 400
+    got = syncmers.compare(spark.createDataFrame(strings, "doc_id string, text string")).select("doc_id", "edited_sha256").collect()
+    order = sorted(strings, reverse=True)
+    for (i, own), (_, after) in list(zip(order, [*order[1:], order[0]], strict=True))[::97]:
+        half = len(own) // 2
+        expected = hashlib.sha256((own[: len(own) - half] + after[:half]).encode()).hexdigest()
+        assert [r.edited_sha256 for r in got if r.doc_id == i] == [expected]
+
+
 def test_single_document_and_empty_table(spark):
     one = syncmers.compare(spark.createDataFrame([(1, "one two three four five six seven")], "doc_id long, text string")).first()
     assert one.near_next == 1.0 and one.n_chars == 33
