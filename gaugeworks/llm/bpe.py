@@ -29,6 +29,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +41,7 @@ from .common import lean, materialise, text_or_empty
 #: Longer texts are encoded as a tree of leaves of so many characters.
 LEAF_CHARS = 8192
 #: Nodes that a task joins, pair by pair, into one of the next level.
-FAN = 16
+FAN = 64
 #: Between two places of agreement, so many characters are encoded again as they are; longer stretches piece by piece.
 STRETCH = 1024
 #: Texts whose tokens a worker holds at a time.
@@ -80,6 +81,7 @@ class Codec:
         self.core = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=vocab, special_tokens=self.special)
         self.decimal = [str(i) for i in range(self.core.n_vocab)]
         self.length = np.array([len(self.core.decode_single_token_bytes(i)) if i in ids else 0 for ids in [{*vocab.values(), *self.special.values()}] for i in range(self.core.n_vocab)])
+        self.width = "<u2" if self.core.n_vocab <= 1 << 16 else "<u4"
         self._special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self._margin = max(map(len, self.special), default=0)
         self._cuts, self._pieces = regex.compile(CUTS), regex.compile(PATTERN)
@@ -116,6 +118,16 @@ class Codec:
                 return a[:i] + middle + b[j:]
             window *= 2
 
+    def packed(self, ids) -> bytes:
+        import numpy as np
+
+        return np.asarray(ids, self.width).tobytes()
+
+    def unpacked(self, data: bytes):
+        import numpy as np
+
+        return np.frombuffer(data, self.width).astype(np.int32)
+
     def _places(self, text: str, seam: int, first: bool, last: bool) -> tuple[int | None, int | None]:
         """The last place of agreement up to the seam and the first one from it on; first, last: the text begins, ends with its side."""
 
@@ -270,49 +282,56 @@ def encode_decode(df: DataFrame, id_cols: Sequence[str], text_col: str, tokenize
 
 
 def _encode_tree(rows: DataFrame, n_ids: int, definition, schema: T.StructType, outputs: bool, leaf_chars: int, longest: int) -> DataFrame:
+    """Texts by how many levels their trees have, so that none passes a level it doesn't need."""
+    levels, span = [], leaf_chars
+    while not levels or span < longest:
+        low, span = span, span * FAN
+        texts = rows.filter((F.length("_text") > low) & (F.length("_text") <= span))
+        levels.append(_encode_levels(texts, n_ids, definition, schema, outputs, leaf_chars, len(levels) + 1))
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _encode_levels(rows: DataFrame, n_ids: int, definition, schema: T.StructType, outputs: bool, leaf_chars: int, levels: int) -> DataFrame:
     """Leaves of a text go to many tasks; their encodings meet again level by level."""
     arrow = _arrow(schema)
-    node = "_row long, _node long, _ids binary"
+    ids_fields = rows.schema.fields[:n_ids]
+    at_node = [*ids_fields, T.StructField("_row", T.LongType()), T.StructField("_node", T.LongType())]
+    leaf, node = T.StructType([*at_node, T.StructField("_text", T.StringType())]), T.StructType([*at_node, T.StructField("_ids", T.BinaryType())])
+    leaf_arrow, node_arrow = _arrow(leaf), _arrow(node)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, row in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                text = text.as_py()
+            for r in range(batch.num_rows):
+                text = batch.column(n_ids)[r].as_py()
                 for low in range(0, len(text), leaf_chars * 256):
                     leaves = [text[at : at + leaf_chars] for at in range(low, min(low + leaf_chars * 256, len(text)), leaf_chars)]
-                    first = low // leaf_chars
-                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(leaves)), pa.array(range(first, first + len(leaves)), pa.int64()), pa.array(leaves)], names=["_row", "_node", "_text"])
+                    same = [0] * len(leaves)
+                    held = batch.slice(r, 1).take(pa.array(same))
+                    nodes = pa.array(range(low // leaf_chars, low // leaf_chars + len(leaves)), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*held.columns[:n_ids], held.column(n_ids + 1), nodes, pa.array(leaves, leaf_arrow.field(n_ids + 2).type)], names=leaf.names)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         codec = _codec(definition)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                coded = [np.asarray(codec.encode(t), "<i4").tobytes() for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(coded, pa.binary())], names=["_row", "_node", "_ids"])
+                coded = [codec.packed(codec.encode(t)) for t in part.column(n_ids + 2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(coded, pa.binary())], names=node.names)
 
-    def join(key: tuple, table: pa.Table) -> pa.Table:
-        import numpy as np
-
-        table = table.sort_by("_node")
-        nodes = [np.frombuffer(x.as_py(), "<i4") for x in table.column("_ids")]
-        ids = _codec(definition).join_all(nodes)
-        return pa.table([pa.array([key[0].as_py()]), pa.array([key[1].as_py()]), pa.array([ids.astype("<i4").tobytes()], pa.binary())], names=["_row", "_node", "_ids"])
+    def joined(table: pa.Table):
+        codec = _codec(definition)
+        return codec.join_all([codec.unpacked(x.as_py()) for x in table.sort_by("_node").column("_ids")])
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+    def join(key: tuple, table: pa.Table) -> pa.Table:
+        ids = _codec(definition).packed(joined(table))
+        columns = [c.combine_chunks() for c in table.slice(0, 1).columns[: n_ids + 1]]
+        return pa.table([*columns, pa.array([key[1].as_py()]), pa.array([ids], pa.binary())], names=node_arrow.names)
 
-        codec = _codec(definition)
-        for batch in batches:
-            for at in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(n_ids)[at].as_py(), "<i4").tolist()
-                yield _batch(arrow, batch.slice(at, 1), [_result(codec, ids, outputs)], arrow.names[:n_ids])
+    def finish(table: pa.Table) -> pa.Table:
+        result = _result(_codec(definition), joined(table).tolist(), outputs)
+        return pa.Table.from_batches([_batch(arrow, table.slice(0, 1), [result], arrow.names[:n_ids])])
 
-    parts = rows.select("_text", "_row").mapInArrow(lean(cut), "_row long, _node long, _text string").repartition("_row", "_node").mapInArrow(lean(encode), node)
-    nodes = -(-longest // leaf_chars)
-    while nodes > 1:
+    parts = rows.mapInArrow(lean(cut), leaf).repartition("_row", "_node").mapInArrow(lean(encode), node)
+    for _ in range(levels - 1):
         parts = parts.groupBy("_row", F.floor(F.col("_node") / FAN).alias("_up")).applyInArrow(join, node)
-        nodes = -(-nodes // FAN)
-    return rows.drop("_text").join(parts.select("_row", "_ids"), "_row").drop("_row").mapInArrow(lean(finish), schema)
+    return parts.groupBy("_row").applyInArrow(finish, schema)

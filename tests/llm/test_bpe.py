@@ -72,7 +72,8 @@ def test_special_tokens_and_runs_across_cuts(monkeypatch):
 
 
 @pytest.mark.parametrize("leaf_chars", [300, 2048])
-def test_operator(spark, leaf_chars):
+def test_operator(spark, monkeypatch, leaf_chars):
+    monkeypatch.setattr(bpe, "FAN", 3)  # several levels
     rng = random.Random(5)
     long = ["x" * 5000, " " + "".join(rng.choice("abcdefgh") for _ in range(9001)) + " end", "word " * 400 + "é" * 3000 + "\n" * 2500 + " tail <|endoftext|>" + "7" * 2300, "　" * 2100 + "y", " ".join(random_texts(20, seed=8)), "a sentence, as they are. " * 3000, "x" * 2000 + "<|endoftext|>" + "y" * 3000]
     texts = [*random_texts(10), *long, "", None, "same", "same"]
