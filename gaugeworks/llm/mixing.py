@@ -10,15 +10,19 @@ a prefix of one more epoch's seeded order, as long as the tokens so far stay
 within the budget.
 
 All of it is DataFrame operations. Only the leaf table goes through per-node
-windows. For the prefix, documents are dealt by the first digits of their
-order key into buckets; sums of buckets decide all but one bucket a leaf, so
-a leaf with a third of all rows is never sorted in one task.
+windows. The prefix ends at a key of each leaf, which a search over sums finds:
+a leaf's documents are summed by the next ``DIGITS`` hex digits of their order
+keys, the sums tell in which of these buckets the budget ends, and only that
+bucket's documents are looked at again, until one holds about ``FEW`` of them.
+Then a document is taken or not by its own key alone. So no task sorts a leaf
+or a bucket of many documents, and texts (columns of ``keep``) are never shuffled.
 
 Defined results: a null level is a node of its own; a document with null or
 no tokens is never taken; a null id is ordered like the text ``null``; rows that
 repeat id and leaf have equal order keys and are taken together or not at
-all; nodes without a weight have weight 1, nodes of weight 0 or less get
-nothing; an empty table gives an empty table.
+all; nodes without a weight have weight 1; nodes of weight 0 or less get
+nothing, and neither they nor what lies below them count in any capacity; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,8 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Hex digits of the order key that deal a leaf's documents into buckets.
-BUCKET_HEX = 3
+#: Hex digits by which a leaf's documents are summed at a time.
+DIGITS = 2
+#: Documents of a leaf's bucket that are summed one by one, about.
+FEW = 256
 
 
 def _weight(level: int, names: Sequence[str], weights: Mapping[tuple, float]) -> Column:
@@ -49,13 +55,16 @@ def _weight(level: int, names: Sequence[str], weights: Mapping[tuple, float]) ->
 
 def budgets(leaves: DataFrame, names: Sequence[str], weights: Mapping[tuple, float], total: float, max_epochs: float) -> DataFrame:
     """leaves: the levels and ``tokens``. Adds ``budget``, in tokens."""
-    nodes = leaves.withColumn("capacity", F.col("tokens") * F.lit(float(max_epochs)))
+    nodes = leaves
+    for level in range(len(names)):  # what hangs on a node without weight can't take what its ancestors are given
+        nodes = nodes.filter(_weight(level, names, weights) > 0)
+    nodes = nodes.withColumn("capacity", F.col("tokens") * F.lit(float(max_epochs)))
     held = nodes.agg(F.sum("capacity")).first()[0] or 0.0
     nodes = nodes.withColumn("budget", F.lit(min(float(total), held)))
     for level, name in enumerate(names):
         above, here = list(names[:level]), list(names[: level + 1])
         children = nodes.groupBy(*here).agg(F.sum("capacity").alias("_c"), F.first("budget").alias("_parent")).withColumn("_w", _weight(level, names, weights))
-        children = children.filter("_w > 0").withColumn("_ratio", F.col("_c") / F.col("_w"))
+        children = children.withColumn("_ratio", F.col("_c") / F.col("_w"))
         family = Window.partitionBy(*above) if above else Window.partitionBy(F.lit(0))
         order = family.orderBy("_ratio")
         # a child is full if, were its ratio the level for all, the budget would still do
@@ -81,31 +90,55 @@ def select(docs: DataFrame, levels: Sequence[str], *, id_col: str, token_col: st
     rows = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(n) for c, n in zip(levels, names, strict=True)], F.col(token_col).cast("long").alias("tokens"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)])
     rows = rows.filter("tokens > 0")
     narrow = materialise(rows.select("_id", *names, "tokens"), "mix-rows")  # texts are read once, not for every pass
-    leaves = materialise(narrow.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
+    leaves = materialise(narrow.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "mix-leaves")
+    tokens, most = leaves.agg(F.sum("tokens"), F.max("rows")).first()
     if total_tokens is None:
-        total_tokens = float(leaves.agg(F.sum("tokens")).first()[0] or 0) * float(total_share)
-    plan = budgets(leaves, names, weights, total_tokens, max_epochs)
+        total_tokens = float(tokens or 0) * float(total_share)
+    plan = budgets(leaves.drop("rows"), names, weights, total_tokens, max_epochs)
     plan = plan.withColumn("_whole", F.floor(F.col("budget") / F.col("tokens"))).withColumn("_rest", F.col("budget") - F.col("_whole") * F.col("tokens"))
-    plan = materialise(plan.select(*[F.col(n).alias(f"_p{i}") for i, n in enumerate(names)], "_whole", "_rest"), "mix-plan")
+    plan = plan.select(*[F.col(n).alias(f"_p{i}") for i, n in enumerate(names)], "_whole", "_rest", F.lit("").alias("_prefix"), F.lit(0).cast("long").alias("_before"))
+    plan = materialise(plan, "mix-plan")
 
-    def all_same(prefix: str) -> Column:
-        return reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"{prefix}{i}")) for i, n in enumerate(names)])
-
-    def keyed(table: DataFrame) -> DataFrame:
+    def keyed(table: DataFrame, plan: DataFrame) -> DataFrame:
         key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit("null"))).cast("binary"))
-        table = table.join(plan, all_same("_p")).drop(*[f"_p{i}" for i in range(len(names))])
-        return table.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, BUCKET_HEX))
-
-    sums = keyed(narrow).groupBy(*names, "_bucket").agg(F.sum("tokens").alias("_sum"))
-    sums = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*names).orderBy("_bucket")) - F.col("_sum"))
-    sums = sums.select(*[F.col(n).alias(f"_s{i}") for i, n in enumerate(names)], F.col("_bucket").alias("_sb"), "_before")
-    placed = keyed(rows if keep else narrow).join(sums, all_same("_s") & (F.col("_bucket") == F.col("_sb"))).drop("_sb", *[f"_s{i}" for i in range(len(names))])
-    inside = F.sum("tokens").over(Window.partitionBy(*names, "_bucket").orderBy("_key"))
-    # equal keys share a running sum
-    taken = placed.withColumn("_epochs", F.col("_whole") + F.when(F.col("_before") + inside <= F.col("_rest"), 1).otherwise(0)).filter("_epochs > 0")
+        same = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"_p{i}")) for i, n in enumerate(names)])
+        return table.join(plan, same).withColumn("_key", key)
+
+    places, digits = [f"_p{i}" for i in range(len(names))], 0
+    while True:
+        step = 32 if (most or 0) <= FEW * 16**digits else digits + DIGITS
+        plan = materialise(_narrowed(keyed(narrow, plan), plan, places, step), "mix-plan")
+        if step == 32:
+            break
+        digits = step
+    out = keyed(rows if keep else narrow, plan).drop(*places)
+    taken = out.withColumn("_epochs", F.col("_whole") + F.when(F.col("_key") <= F.col("_prefix"), 1).otherwise(0)).filter("_epochs > 0")
     return taken.select(F.col("_id").alias(id_col), *[F.col(n).alias(c) for n, c in zip(names, levels, strict=True)], "tokens", F.col("_epochs").cast("long").alias("epochs"), *[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)])
 
 
+def _narrowed(rows: DataFrame, plan: DataFrame, places: Sequence[str], digits: int) -> DataFrame:
+    """The plan with the prefix, of so many digits, of the key up to which a leaf's documents fit the rest of its budget.
+
+    With all 32 digits, the prefix becomes the last key that fits; ``~`` stands for a leaf whose documents all fit.
+    """
+    rows = rows.filter(F.startswith("_key", "_prefix"))
+    sums = rows.groupBy(*places, F.substring("_key", 1, digits).alias("_bucket")).agg(F.sum("tokens").alias("_sum"), F.first("_rest").alias("_r"), F.first("_before").alias("_b"))
+    order = Window.partitionBy(*places).orderBy("_bucket")
+    sums = sums.withColumn("_upto", F.col("_b") + F.sum("_sum").over(order))
+    over = F.col("_upto") > F.col("_r")
+    if digits < 32:
+        ends = sums.groupBy(*places).agg(F.min(F.when(over, F.struct("_bucket", (F.col("_upto") - F.col("_sum")).alias("before")))).alias("_end"))
+        prefix, before = F.coalesce("_end._bucket", F.lit("~")), F.coalesce("_end.before", F.col("_before"))
+    else:  # no key is as small as a prefix of its own
+        ends = sums.groupBy(*places).agg(F.max(F.when(~over, F.col("_bucket"))).alias("_end"))
+        prefix, before = F.coalesce("_end", F.col("_prefix")), F.col("_before")
+    named = ends.toDF(*[f"_q{i}" for i in range(len(places))], "_end")
+    same = reduce(Column.__and__, [F.col(p).eqNullSafe(F.col(f"_q{i}")) for i, p in enumerate(places)])
+    joined = plan.join(named, same, "left")
+    # a leaf that has found its end has no documents left to sum
+    return joined.select(*places, "_whole", "_rest", F.when(F.col("_prefix") == "~", "~").otherwise(prefix).alias("_prefix"), before.alias("_before"))
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^ \t\n\r]+"))
 

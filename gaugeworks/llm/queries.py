@@ -104,19 +104,21 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 
-def _mixing_sql() -> str:
-    """The tree is filled level by level: a child is full if the level of its ratio for all would stay within the parent's budget."""
+def mixing_sql(weights: dict = MIX_WEIGHTS, share: float = MIX_SHARE, epochs: float = MIX_EPOCHS) -> str:
+    """Leaves on a path of weight 0 are left out first. The tree is filled level by level: a child is full if the level of its ratio for all would stay within the parent's budget."""
     number = "regexp_extract(source, '([0-9]{1,9})$', 1)"
     same = lambda a, b, names: " AND ".join(f"{a}.{n} IS NOT DISTINCT FROM {b}.{n}" for n in names)
+    bare = [(dict(zip(MIX_LEVELS, p, strict=False))) for p, w in weights.items() if w <= 0]
+    weighed = "".join(" AND NOT (" + " AND ".join(f"{n} IS NOT DISTINCT FROM '{v}'" for n, v in p.items() if v is not None) + ")" for p in bare)
     ctes = [
         f"""d AS (SELECT doc_id, CASE WHEN coalesce({number}, '') = '' THEN 'other' ELSE 'd' || ({number}::INT % 4) END AS domain, lang, source,
             len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) AS tokens FROM documents)""",
-        f"leaves AS (SELECT domain, lang, source, sum(tokens)::DOUBLE AS tokens, sum(tokens)::DOUBLE * {float(MIX_EPOCHS)} AS capacity FROM d WHERE tokens > 0 GROUP BY ALL)",
-        f"n0 AS (SELECT *, least((SELECT sum(tokens) FROM leaves) * {MIX_SHARE}, (SELECT sum(capacity) FROM leaves)) AS budget FROM leaves)",
+        f"leaves AS (SELECT domain, lang, source, sum(tokens)::DOUBLE AS tokens, sum(tokens)::DOUBLE * {float(epochs)} AS capacity FROM d WHERE tokens > 0{weighed} GROUP BY ALL)",
+        f"n0 AS (SELECT *, least((SELECT sum(tokens) FROM d) * {share}, (SELECT sum(capacity) FROM leaves)) AS budget FROM leaves)",
     ]
     for level, name in enumerate(MIX_LEVELS):
         here, above = MIX_LEVELS[: level + 1], MIX_LEVELS[:level]
-        cases = "".join(f" WHEN {name} = '{p[-1]}' THEN {float(w)}" for p, w in MIX_WEIGHTS.items() if len(p) == level + 1)
+        cases = "".join(f" WHEN {" AND ".join(f"{n} = '{v}'" for n, v in zip(MIX_LEVELS, p, strict=False) if v is not None)} THEN {float(w)}" for p, w in weights.items() if len(p) == level + 1)
         family = f"PARTITION BY {', '.join(above)}" if above else ""
         ctes += [
             f"c{level} AS (SELECT {', '.join(here)}, sum(capacity) AS c, first(budget) AS parent, {f'CASE{cases} ELSE 1.0 END::DOUBLE' if cases else '1.0::DOUBLE'} AS w FROM n{level} GROUP BY {', '.join(here)})",
@@ -132,4 +134,4 @@ def _mixing_sql() -> str:
     return f"WITH {', '.join(ctes)} SELECT doc_id, domain, lang, source, tokens, whole + CASE WHEN so_far <= rest THEN 1 ELSE 0 END AS epochs FROM placed WHERE whole + CASE WHEN so_far <= rest THEN 1 ELSE 0 END > 0"
 
 
-ORACLE_SQL["op4_mixing"] = _mixing_sql()
+ORACLE_SQL["op4_mixing"] = mixing_sql()

@@ -34,6 +34,7 @@ def fill(budget, children):
 
 def brute_budgets(leaves, weights, total, epochs):
     out = {}
+    leaves = {path: n for path, n in leaves.items() if all(weight(path[:k], weights) > 0 for k in (1, 2, 3))}
 
     def walk(prefix, budget):
         depth = len(prefix)
@@ -60,8 +61,10 @@ def docs(seed, n=600):
     return [*rows, rows[5], rows[5]]
 
 
-@pytest.mark.parametrize("share,epochs", [(0.3, 1), (0.7, 1), (0.9, 3), (2.5, 3), (5.0, 2)])
-def test_budgets_and_selection(spark, share, epochs):
+@pytest.mark.parametrize("share,epochs,few", [(0.3, 1, 256), (0.3, 1, 0.001), (0.7, 1, 4), (0.9, 3, 256), (2.5, 3, 1), (5.0, 2, 4)])
+def test_budgets_and_selection(spark, monkeypatch, share, epochs, few):
+    monkeypatch.setattr(mixing, "FEW", few)
+    monkeypatch.setattr(mixing, "DIGITS", 1)
     rows = docs(2)
     df = spark.createDataFrame(rows, "doc_id long, domain string, lang string, source string, n long").withColumnRenamed("n", "_key")
     got = mixing.select(df, ["domain", "lang", "source"], id_col="doc_id", token_col="_key", weights=WEIGHTS, total_share=share, max_epochs=epochs, seed=3).collect()
@@ -94,3 +97,37 @@ def test_shortage_goes_to_siblings_first(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, a string, n long")
     assert mixing.select(df, ["a"], id_col="doc_id", token_col="n", weights={}, total_share=0.5).collect() == []
+
+
+def test_what_hangs_on_no_weight_gets_no_budget(spark):
+    leaves = spark.createDataFrame([("d0", "en", "a", 100), ("d0", "de", "a", 50), ("d1", "en", "a", 100)], "l0 string, l1 string, l2 string, tokens long")
+    got = {tuple(r[:3]): r.budget for r in mixing.budgets(leaves, ["l0", "l1", "l2"], {("d0", "en"): 0}, 100, 1).select("l0", "l1", "l2", "budget").collect()}
+    assert got == {("d0", "de", "a"): 50, ("d1", "en", "a"): 50}
+    got = {tuple(r[:3]): r.budget for r in mixing.budgets(leaves, ["l0", "l1", "l2"], {("d0", "en"): 0}, 130, 1).select("l0", "l1", "l2", "budget").collect()}
+    assert got == {("d0", "de", "a"): 50, ("d1", "en", "a"): 80}
+
+
+def test_sql_says_the_same_with_nodes_of_no_weight(spark, tmp_path):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from gaugeworks.llm import queries
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["en", "en", "de", "fr", None]), rng.choice(["src0", "src1", "src2", "src9", None]), "word " * rng.choice([0, *range(1, 40)])) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/d")
+    weights = {("d0",): 4, ("d1",): 3, ("d2", "de"): 0, ("d1", "en"): 0, (None, "fr"): 2, (None, None, "src9"): 0}
+    docs = df.select("doc_id", mixing.domain_of(F.col("source")).alias("domain"), "lang", "source", mixing.word_count(F.col("text")).alias("n"))
+    for share in (0.2, 0.6, 0.95):
+        got = mixing.select(docs, queries.MIX_LEVELS, id_col="doc_id", token_col="n", weights=weights, total_share=share, max_epochs=2, seed=queries.MIX_SEED)
+        with duckdb.connect() as c:
+            c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+            expected = c.execute(queries.mixing_sql(weights, share, 2)).fetchall()
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str) and expected
+
+
+def test_texts_are_not_shuffled(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b", 5, f"text {i}") for i in range(900)], "doc_id long, leaf string, n long, text string")
+    taken = mixing.select(df, ["leaf"], id_col="doc_id", token_col="n", weights={}, total_share=0.5, keep=["text"])
+    assert "Exchange hash" not in taken._jdf.queryExecution().executedPlan().toString() and 400 < taken.count() < 452
