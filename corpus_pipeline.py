@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import bpe, langid, linededup, mixing, neardup
-from gaugeworks.llm.common import load, materialise
+from gaugeworks.llm.common import load, materialise, scratch_path
+from gaugeworks.storage import scratch
 
 #: Share of all words that mixing takes, at most once each, and the weights of its tree.
 MIX_SHARE, MIX_SEED = 0.8, 11
@@ -57,5 +58,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with scratch(spark):  # what a stage writes on its way goes once its result is written
+            docs = materialise(stage(spark, docs, sf_dir), name, path=path)
     return docs

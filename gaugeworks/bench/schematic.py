@@ -9,15 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import project
 
-# Panel size, margin, least extent and its padding.
-PANEL_W, PANEL_H, MARGIN, LEAST_SPAN, PAD = 900.0, 420.0, 50.0, 1.0, 5.0
-COLORS = {"temperature": "#f87171", "humidity": "#60a5fa", "co2": "#a78bfa"}
-OTHER_COLORS = ["#34d399", "#fbbf24", "#fb923c", "#22d3ee", "#e879f9", "#94a3b8"]
+#: A floor's panel and its margin, in pixels; the least extent it shows and what is added to a smaller one, in metres.
+PANEL_W, PANEL_H, MARGIN, LEAST_SPAN, PAD = 720.0, 360.0, 32.0, 2.0, 3.0
 
 
 def color(sensor_type: str, types: list[str]) -> str:
-    others = [t for t in types if t not in COLORS]
-    return COLORS.get(sensor_type) or OTHER_COLORS[others.index(sensor_type) % len(OTHER_COLORS)]
+    """Hues of the types present, evenly around the circle."""
+    return f"hsl({360 * types.index(sensor_type) // len(types)} 65% 45%)"
 
 
 def points(sensors: DataFrame, locations: DataFrame, elements: DataFrame, zones: DataFrame, zone_floor: DataFrame) -> DataFrame:

@@ -1,12 +1,16 @@
 """The contract of a layout: a folder with versions of a readings table, and topology tables.
 
-A write makes a new version or appends to the present one; readers that hold a
-DataFrame of an older version keep it until ``drop`` or ``vacuum``.
+``v<n>`` holds a version, in it ``insert=<k>`` the readings of the k-th insert, or
+those that a new version took over (k = 0). Each write goes to a folder of its
+own and counts from when a marker in ``commits`` names it, so a write that fails
+or is done again leaves nothing twice, and a layout can be opened again from its
+path alone. Readers that hold a DataFrame of an older version keep it until
+``drop`` or ``vacuum``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +19,8 @@ from ..model import RangeQuery
 from ..operators import in_range, latest_single, prune, register, sensors_by_floor, sensors_by_zone
 
 READING = "sensor_id long, ts_ms long, value double, sensor_type string"
-STORED = f"{READING}, arrival long"
+STORED = f"{READING}, batch long, arrival long"
+COLUMNS = [c.split(" ")[0] for c in STORED.split(", ")]
 
 
 class Layout:
@@ -26,15 +31,24 @@ class Layout:
     excluded: Sequence[str] = ()
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.version, self.batches = spark, path.rstrip("/"), 0, 0
+        """Opens what lies at the path, or an empty layout."""
+        self.spark, self.path = spark, path.rstrip("/")
+        self.version, self.inserts, self.sources = 0, 0, set()
+        for name in self._list(f"{self.path}/commits"):
+            version, inserts, *source = name.split(".", 2)
+            self.version = max(self.version, int(version))
+            self.inserts = max(self.inserts, int(inserts))
+            self.sources.update(source)
 
     # how a layout stores
 
-    def write(self, rows: DataFrame, path: str, mode: str) -> None:
+    def write(self, rows: DataFrame, path: str) -> None:
+        """Overwrite what an attempt before may have left at the path."""
         raise NotImplementedError
 
     def read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(STORED).parquet(path)
+        """The table with its folder's ``insert``."""
+        return self.spark.read.schema(f"{STORED}, insert long").parquet(path)
 
     # files
 
@@ -51,35 +65,56 @@ class Layout:
         fs, p = self._file_system(path)
         fs.delete(p, True)
 
+    def _list(self, path: str) -> list[str]:
+        fs, p = self._file_system(path)
+        return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _commit(self, source: str | None = None) -> None:
+        fs, p = self._file_system(f"{self.path}/commits/{self.version}.{self.inserts}{'' if source is None else f'.{source}'}")
+        fs.create(p, True).close()
+
     @property
     def _data(self) -> str:
         return f"{self.path}/v{self.version}"
 
     def _stored(self) -> DataFrame:
+        """The readings of committed writes, with their place in the order of arrival."""
         if not self._exists(self._data):
             return self.spark.createDataFrame([], STORED)
-        return self.read(self._data).select(*[c.split(" ")[0] for c in STORED.split(", ")])
+        return self.read(self._data).filter(F.col("insert") <= self.inserts).select(*COLUMNS)
 
     # the contract
 
-    def insert(self, readings: DataFrame) -> None:
-        """Append a batch. Readings arrive in the order of their ``arrival`` column, or batch by batch without one."""
-        if "arrival" not in readings.columns:
-            readings = readings.withColumn("arrival", F.lit(self.batches).cast("long") * F.lit(1 << 40) + F.monotonically_increasing_id())
-        self.batches += 1
-        self.append(readings.select("sensor_id", "ts_ms", "value", "sensor_type", "arrival"))
-
-    def append(self, rows: DataFrame) -> None:
-        self.write(rows, self._data, "append")
+    def insert(self, readings: DataFrame, source: str | None = None) -> None:
+        """Append a batch. Batches arrive one after another, their readings in the order of the DataFrame.
+
+        With an ``arrival`` column of their own, readings are ordered by it among
+        all such batches, and come before those of batches without. A batch of
+        a ``source`` that was inserted before is left out.
+        """
+        if source is not None and source in self.sources:
+            return
+        if "arrival" in readings.columns:
+            rows = readings.withColumn("batch", F.lit(0).cast("long"))
+        else:
+            rows = readings.withColumn("batch", F.lit(self.inserts + 1).cast("long")).withColumn("arrival", F.monotonically_increasing_id())
+        self.append(rows.select(*COLUMNS), f"{self._data}/insert={self.inserts + 1}")
+        self.inserts += 1
+        self._commit(source)
+        if source is not None:
+            self.sources.add(source)
+
+    def append(self, rows: DataFrame, path: str) -> None:
+        self.write(rows, path)
 
     def replace(self, rows: DataFrame) -> None:
-        """A new version of the table."""
-        after = f"{self.path}/v{self.version + 1}"
-        self.write(rows, after, "errorifexists")
+        """A new version of the table, in one write."""
+        self.write(rows, f"{self.path}/v{self.version + 1}/insert=0")
         self.version += 1
+        self._commit()
 
     def readings(self) -> DataFrame:
-        return self._stored().drop("arrival")
+        return self._stored().drop("batch", "arrival")
 
     def count(self) -> int:
         return self._stored().count()
@@ -134,9 +169,17 @@ class Layout:
 
     def prune_older_than(self, sensor_type: str, cutoff_ms: int) -> int:
         """Drop the type's readings from before the cutoff; how many went."""
-        before = self.count()
-        self.replace(prune(self._stored(), sensor_type, cutoff_ms))
-        return before - self.count()
+        return self.prune_by_age({sensor_type: cutoff_ms})
+
+    def prune_by_age(self, cutoffs_ms: Mapping[str, int]) -> int:
+        """Drop each type's readings from before its cutoff, in one rewrite if there are any; how many went."""
+        kept = stored = self._stored()
+        for sensor_type, cutoff in cutoffs_ms.items():
+            kept = prune(kept, sensor_type, cutoff)
+        gone = stored.count() - kept.count()
+        if gone:
+            self.replace(kept)
+        return gone
 
     def vacuum(self) -> None:
         """Delete older versions."""
@@ -145,4 +188,4 @@ class Layout:
 
     def drop(self) -> None:
         self._delete(self.path)
-        self.version = self.batches = 0
+        self.version, self.inserts, self.sources = 0, 0, set()

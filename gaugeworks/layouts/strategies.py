@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import RING_CAPACITY
-from ..operators import keep_last, latest_single
+from ..operators import keep_last
 from .base import STORED, Layout
 
 
@@ -15,11 +15,11 @@ class RowLog(Layout):
 
     name = "AoS"
 
-    def write(self, rows: DataFrame, path: str, mode: str) -> None:
-        rows.write.mode(mode).json(path)
+    def write(self, rows: DataFrame, path: str) -> None:
+        rows.write.mode("overwrite").json(path)
 
     def read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(STORED).json(path)
+        return self.spark.read.schema(f"{STORED}, insert long").json(path)
 
 
 class UnsortedColumns(Layout):
@@ -27,8 +27,8 @@ class UnsortedColumns(Layout):
 
     name = "SoA"
 
-    def write(self, rows: DataFrame, path: str, mode: str) -> None:
-        rows.write.mode(mode).parquet(path)
+    def write(self, rows: DataFrame, path: str) -> None:
+        rows.write.mode("overwrite").parquet(path)
 
 
 class TimeSeries(Layout):
@@ -36,8 +36,8 @@ class TimeSeries(Layout):
 
     name = "TimeSeries"
 
-    def write(self, rows: DataFrame, path: str, mode: str) -> None:
-        rows.repartitionByRange("ts_ms").sortWithinPartitions("ts_ms", "sensor_id").write.mode(mode).parquet(path)
+    def write(self, rows: DataFrame, path: str) -> None:
+        rows.repartitionByRange("ts_ms").sortWithinPartitions("ts_ms", "sensor_id").write.mode("overwrite").parquet(path)
 
 
 class Columnar(Layout):
@@ -45,8 +45,8 @@ class Columnar(Layout):
 
     name = "Columnar"
 
-    def write(self, rows: DataFrame, path: str, mode: str) -> None:
-        rows.repartitionByRange("sensor_type", "sensor_id").sortWithinPartitions("sensor_type", "sensor_id", "ts_ms").write.mode(mode).option("parquet.writer.version", "v2").partitionBy("sensor_type").parquet(path)
+    def write(self, rows: DataFrame, path: str) -> None:
+        rows.repartitionByRange("sensor_type", "sensor_id").sortWithinPartitions("sensor_type", "sensor_id", "ts_ms").write.mode("overwrite").option("parquet.writer.version", "v2").partitionBy("sensor_type").parquet(path)
 
 
 class Hierarchical(Layout):
@@ -54,13 +54,13 @@ class Hierarchical(Layout):
 
     name = "Hierarchical"
 
-    def write(self, rows: DataFrame, path: str, mode: str) -> None:
+    def write(self, rows: DataFrame, path: str) -> None:
         placed = rows.join(self.sensor_zone(), "sensor_id", "left").join(self.zone_floor(), "zone_id", "left")
         placed = placed.fillna(-1, ["zone_id", "floor_id"])
-        placed.repartitionByRange("floor_id", "zone_id", "sensor_id").sortWithinPartitions("floor_id", "zone_id", "sensor_id", "ts_ms").write.mode(mode).partitionBy("floor_id", "zone_id").parquet(path)
+        placed.repartitionByRange("floor_id", "zone_id", "sensor_id").sortWithinPartitions("floor_id", "zone_id", "sensor_id", "ts_ms").write.mode("overwrite").partitionBy("floor_id", "zone_id").parquet(path)
 
     def read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(f"{STORED}, floor_id long, zone_id long").parquet(path)
+        return self.spark.read.schema(f"{STORED}, insert long, floor_id long, zone_id long").parquet(path)
 
     def _place(self) -> None:
         """Readings move to their sensors' present zones."""
@@ -79,38 +79,36 @@ class Hierarchical(Layout):
         """A zone's readings, from its folder alone."""
         if not self._exists(self._data):
             return self.readings()
-        return self.read(self._data).filter(F.col("zone_id") == zone_id).select("sensor_id", "ts_ms", "value", "sensor_type")
+        return self.read(self._data).filter((F.col("zone_id") == zone_id) & (F.col("insert") <= self.inserts)).select("sensor_id", "ts_ms", "value", "sensor_type")
 
 
 class RingBuffer(Layout):
-    """The last readings of every sensor by arrival, and a table of each one's latest.
+    """The last readings of every sensor by arrival.
 
+    An insert appends the batch's own last readings; reading keeps the last of
+    all. Every ``compact``-th insert rewrites what is kept, so writes cost a
+    fraction of the ring and reads never see more than so many batches beside it.
     The latest is that of the readings kept, so it can't outlive them.
     """
 
     name = "RingBuffer"
     excluded = ("hourly_rollup", "daily_zone_rollup")
 
-    def __init__(self, spark, path: str, capacity: int = RING_CAPACITY):
+    def __init__(self, spark, path: str, capacity: int = RING_CAPACITY, compact: int = 16):
         super().__init__(spark, path)
-        self.capacity = capacity
+        self.capacity, self.compact = capacity, compact
 
-    def write(self, rows: DataFrame, path: str, mode: str) -> None:
-        rows.repartitionByRange("sensor_id").sortWithinPartitions("sensor_id", "arrival").write.mode(mode).parquet(f"{path}/ring")
-        kept = self.spark.read.schema(STORED).parquet(f"{path}/ring")
-        latest_single(kept).repartitionByRange("sensor_id").sortWithinPartitions("sensor_id").write.mode(mode).parquet(f"{path}/latest")
+    def write(self, rows: DataFrame, path: str) -> None:
+        kept = keep_last(rows, self.capacity, "batch", "arrival")
+        kept.repartitionByRange("sensor_id").sortWithinPartitions("sensor_id", "batch", "arrival").write.mode("overwrite").parquet(path)
 
-    def read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(STORED).parquet(f"{path}/ring")
-
-    def append(self, rows: DataFrame) -> None:
-        self.replace(keep_last(self._stored().unionByName(rows), self.capacity))
+    def _stored(self) -> DataFrame:
+        return keep_last(super()._stored(), self.capacity, "batch", "arrival")
 
-    def latest(self, sensor_id: int | None = None) -> DataFrame:
-        if not self._exists(self._data):
-            return self.readings()
-        out = self.spark.read.parquet(f"{self._data}/latest")
-        return out if sensor_id is None else out.filter(F.col("sensor_id") == sensor_id)
+    def insert(self, readings: DataFrame, source: str | None = None) -> None:
+        super().insert(readings, source)
+        if len(self._list(self._data)) > self.compact:
+            self.replace(self._stored())
 
 
 LAYOUTS: dict[str, type[Layout]] = {c.name: c for c in (RowLog, UnsortedColumns, TimeSeries, Columnar, Hierarchical, RingBuffer)}

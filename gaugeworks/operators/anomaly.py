@@ -12,14 +12,14 @@ def type_stats(readings: DataFrame) -> DataFrame:
 
 
 def anomalies(readings: DataFrame, k: float, sensor_type: str | None = None) -> DataFrame:
-    """Readings more than k population deviations from their type's mean; none if the type has fewer than two values or equal ones only."""
+    """Readings more than k population deviations from their type's mean, by sensor and time; none if the type has fewer than two values or equal ones only."""
     rows = readings if sensor_type is None else readings.filter(F.col("sensor_type") == sensor_type)
     stats = rows.groupBy("sensor_type").agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_dev"), F.count("value").alias("_n"), F.min("value").alias("_min"), F.max("value").alias("_max"))
     # rounding can give equal values a tiny deviation, so their extremes decide
     stats = stats.filter("_n >= 2 and _min < _max and _dev > 0").drop("_n", "_min", "_max")
     z = (F.col("value") - F.col("_mean")) / F.col("_dev")
     scored = rows.join(F.broadcast(stats), "sensor_type").withColumn("z_score", z)  # a row a type
-    return scored.filter(F.abs("z_score") > F.lit(float(k))).select("sensor_id", "ts_ms", "value", "sensor_type", "z_score")
+    return scored.filter(F.abs("z_score") > F.lit(float(k))).select("sensor_id", "ts_ms", "value", "sensor_type", "z_score").orderBy("sensor_id", "ts_ms", "value", "sensor_type")
 
 
 def threshold_breach(readings: DataFrame, threshold: float, min_duration_ms: int, sensor_id: int | None = None) -> DataFrame:

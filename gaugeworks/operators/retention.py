@@ -23,9 +23,9 @@ def prune_by_profile(readings: DataFrame, profiles: DataFrame) -> DataFrame:
     return rows.filter(~F.coalesce(old, F.lit(False))).select(*readings.columns)
 
 
-def keep_last(readings: DataFrame, n: int = RING_CAPACITY, arrival: str = "arrival") -> DataFrame:
-    """The last n readings of every sensor by arrival, not by time."""
-    order = Window.partitionBy("sensor_id").orderBy(F.col(arrival).desc())
+def keep_last(readings: DataFrame, n: int = RING_CAPACITY, *arrival: str) -> DataFrame:
+    """The last n readings of every sensor by arrival (its columns, ``arrival`` if none are named), not by time."""
+    order = Window.partitionBy("sensor_id").orderBy(*[F.col(c).desc() for c in arrival or ("arrival",)])
     return readings.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..model import DAY_MS, HOUR_MS, PROFILES
+from ..layouts import LAYOUTS
+from ..model import DAY_MS, DEFAULT_AREA_M2, EXPECTED_WINNERS, HOUR_MS, PLACEMENT_RULES, PROFILES
 from . import queries as q
 
 _R = f"""r AS (SELECT user_id AS sensor_id, epoch_us(ts) // 1000 AS ts_ms, value, event_id AS arrival,
@@ -117,3 +118,43 @@ ORACLE_SQL: dict[str, str] = {
         SELECT layout, round(sum(weight * median_ns / best) / sum(weight) + 3.7e-10, 6) AS score, round(sum(weight) / (SELECT sum(weight) FROM mix) + 3.7e-10, 6) AS coverage
         FROM runs JOIN mix USING (query) JOIN best USING (query) WHERE scale = 's' GROUP BY layout""",
 }
+
+# The generated building: every line takes the next number. Before the blocks come 6 lines; a block has 4 before its
+# floors and 1 after, a floor 4 before its rooms and 3 after, a room 11.
+_FLOOR_LINES = f"(7 + 11 * {q.ROOMS})"
+_BUILDING = f"""blocks AS (SELECT b, 6 + b * (5 + {q.FLOORS} * {_FLOOR_LINES}) AS b0 FROM range({q.BLOCKS}) AS t(b)),
+    floors AS (SELECT b, f, b0 + 4 + f * {_FLOOR_LINES} AS f0, b0 + 4 AS building, b0 + 8 + f * {_FLOOR_LINES} AS storey FROM blocks, range({q.FLOORS}) AS t(f)),
+    rooms AS (SELECT *, storey + 11 * r AS r0, b * 80.0 + r % 6 * 6.0 AS rx, r // 6 * 5.0 AS ry FROM floors, range({q.ROOMS}) AS t(r)),
+    parts(k, element_type, part) AS (VALUES (4, 'space', NULL), (5, 'wall', 'Wall'), (6, 'flow_segment', 'Duct'), (7, 'equipment', 'Terminal')),
+    elements AS (
+      SELECT 1 AS ifc_id, 'Campus' AS name, 'project' AS element_type, NULL AS parent_id, 0.0 AS x, 0.0 AS y, 0.0 AS z
+      UNION ALL SELECT 2, 'Site', 'site', 1, 0.0, 0.0, 0.0
+      UNION ALL SELECT b0 + 4, 'Block ' || b, 'building', 2, b * 80.0, 0.0, 0.0 FROM blocks
+      UNION ALL SELECT storey, 'Block ' || b || ' floor ' || f, 'storey', building, b * 80.0, 0.0, f * 3.5 FROM floors
+      UNION ALL SELECT r0 + k, coalesce(part, 'Room ' || b || '.' || f || '.' || r), element_type, storey, rx, ry, f * 3.5 FROM rooms, parts
+      UNION ALL SELECT storey + 11 * {q.ROOMS} + 1, 'Beam', 'beam', storey, b * 80.0, 0.0, f * 3.5 FROM floors)"""
+_ELEMENT = "ifc_id::BIGINT AS ifc_id, name, element_type, parent_id::BIGINT AS parent_id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z"
+_RULES = ", ".join(f"('{element}', {n}, '{t}')" for element, types in PLACEMENT_RULES.items() for n, t in enumerate(types))
+_DENSITY = ", ".join(f"('{p.sensor_type}', {p.density}::DOUBLE, 1000.0::DOUBLE / {p.period_ms})" for p in PROFILES)
+_EXPECTED = ", ".join(f"('{k}', {v}::VARCHAR[])" for k, v in EXPECTED_WINNERS.items())
+
+ORACLE_SQL |= {
+    "ifc_elements": f"WITH {_BUILDING} SELECT {_ELEMENT} FROM elements",
+    "building_zones": f"""WITH {_BUILDING}
+        SELECT storey::BIGINT AS zone_id, 'Block ' || b || ' floor ' || f AS name, 'storey' AS zone_type, f * 3.5::DOUBLE AS floor_level, 0.0::DOUBLE AS area_m2, storey::BIGINT AS floor_id FROM floors
+        UNION ALL SELECT (r0 + 4)::BIGINT, 'Room ' || b || '.' || f || '.' || r, 'space', f * 3.5::DOUBLE, 0.0::DOUBLE, storey::BIGINT FROM rooms""",
+    "building_equipment": f"WITH {_BUILDING} SELECT (r0 + 7)::BIGINT AS element_id, 'Maker ' || r % 3 AS manufacturer, 'Type ' || r % 5 AS model, 0.0::DOUBLE AS age_days, 0.0::DOUBLE AS efficiency FROM rooms",
+    "placed_sensors": f"""WITH {_BUILDING},
+        rules(element_type, place, sensor_type) AS (VALUES {_RULES}),
+        density(sensor_type, density, frequency_hz) AS (VALUES {_DENSITY}),
+        rows AS (SELECT *, unnest(range(greatest(1, round(density * {DEFAULT_AREA_M2} / 100)::INT))) AS copy FROM elements JOIN rules USING (element_type) JOIN density USING (sensor_type))
+        SELECT (row_number() OVER (ORDER BY ifc_id, place, copy) - 1)::BIGINT AS sensor_id, sensor_type, frequency_hz, ifc_id::BIGINT AS element_id,
+               CASE WHEN element_type = 'space' THEN ifc_id ELSE parent_id END::BIGINT AS zone_id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM rows""",
+    "winners": f"""
+        WITH runs(scale, query, layout, median_ns) AS (VALUES {", ".join(f"('{s}', '{x}', '{y}', {m}::DOUBLE)" for s, x, y, m in q.WINNER_RUNS)}),
+        expected(query, expected) AS (VALUES {_EXPECTED}),
+        ranked AS (SELECT *, row_number() OVER w AS k, lead(layout) OVER w AS runner_up, lead(median_ns) OVER w AS runner_up_ns FROM runs WINDOW w AS (PARTITION BY scale, query ORDER BY median_ns, layout))
+        SELECT scale, query, layout AS winner, median_ns, runner_up, runner_up_ns, CASE WHEN len(expected) > 0 THEN list_contains(expected, layout) END AS as_expected FROM ranked LEFT JOIN expected USING (query) WHERE k = 1""",
+}
+for _name in LAYOUTS:
+    ORACLE_SQL[f"layout_{_name.lower()}_range"] = _with(f"SELECT {_READING} FROM r WHERE {_IN_RANGE} AND NOT (sensor_type = '{q.TYPE}' AND ts_ms < {q.RANGE.start})")

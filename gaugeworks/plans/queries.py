@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..bench.recommend import recommend
+from ..bench.recommend import recommend, winners
 from ..building import place, resolve, source, write
+from ..layouts import LAYOUTS
 from ..model import HOUR_MS, SENSOR_TYPES, RangeQuery, profiles
 from ..operators import (
     anomalies,
@@ -325,11 +326,15 @@ def q_value_at(spark: SparkSession, d: str) -> DataFrame:
 def _model(spark: SparkSession) -> resolve.Building:
     """A generated building, written and read back through the shared folder."""
     path = scratch_path(spark, "building")
-    text = "\n".join(write.lines(blocks=2, floors=3, rooms=4))
+    text = "\n".join(write.lines(blocks=BLOCKS, floors=FLOORS, rooms=ROOMS))
     spark.range(1).select(F.lit(text).alias("value")).write.text(path)
     return resolve.resolve(source.entities(spark, f"{path}/part-*"))
 
 
+#: Size of the building that the queries below are about; they read no table but that building's file.
+BLOCKS, FLOORS, ROOMS = 2, 3, 4
+
+
 @query("ifc_elements")
 def q_ifc_elements(spark: SparkSession, d: str) -> DataFrame:
     return _model(spark).elements.drop("file")
@@ -342,6 +347,47 @@ def q_placed_sensors(spark: SparkSession, d: str) -> DataFrame:
     return placed.sensors.join(placed.locations, ["file", "sensor_id"]).drop("file")
 
 
+@query("building_zones")
+def q_building_zones(spark: SparkSession, d: str) -> DataFrame:
+    building = _model(spark)
+    return building.zones.join(building.zone_floor, ["file", "zone_id"]).drop("file")
+
+
+@query("building_equipment")
+def q_building_equipment(spark: SparkSession, d: str) -> DataFrame:
+    return _model(spark).equipment.drop("file")
+
+
+WINNER_RUNS = [("s", "latest_single", "RingBuffer", 5.0), ("s", "latest_single", "Columnar", 7.0), ("s", "avg_window", "Hierarchical", 3.0), ("s", "avg_window", "TimeSeries", 4.0), ("s", "avg_window", "Columnar", 9.0), ("s", "latest_by_type", "Columnar", 2.0), ("t", "latest_by_type", "TimeSeries", 2.0), ("t", "latest_by_type", "Columnar", 2.0)]
+
+
+@query("winners")
+def q_winners(spark: SparkSession, d: str) -> DataFrame:
+    """Of fixed runs."""
+    return winners(spark.createDataFrame(WINNER_RUNS, "scale string, query string, layout string, median_ns double"))
+
+
+def _layout(name: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """Readings inserted in two batches and pruned, then read by an object that finds the layout at its path."""
+        path = scratch_path(spark, f"layout-{name}")
+        rows = _r(spark, d, with_arrival=True)
+        layout = LAYOUTS[name](spark, path)
+        layout.register_zones(events.sensor_zone(spark, d))
+        layout.register_floors(events.zone_floor(spark, d))
+        early = F.col("ts_ms") < CUTOFF_MS
+        layout.insert(rows.filter(early))
+        layout.insert(rows.filter(~early))
+        layout.prune_older_than(TYPE, RANGE.start)
+        return LAYOUTS[name](spark, path).range(RANGE)
+
+    return run
+
+
+for _name in LAYOUTS:
+    QUERIES[f"layout_{_name.lower()}_range"] = _layout(_name)
+
+
 @query("synthetic_readings")
 def q_synthetic_readings(spark: SparkSession, d: str) -> DataFrame:
     """A day of one sensor of each type."""

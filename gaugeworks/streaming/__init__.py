@@ -1,5 +1,5 @@
 """The same questions asked of a stream of readings."""
 
-from .stateful import first_breach, hourly, latest, ring, sink
+from .stateful import buckets, daily, first_breach, hourly, latest, ring, sink
 
-__all__ = ["first_breach", "hourly", "latest", "ring", "sink"]
+__all__ = ["buckets", "daily", "first_breach", "hourly", "latest", "ring", "sink"]

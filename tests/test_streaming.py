@@ -1,7 +1,7 @@
 from gaugeworks.layouts import LAYOUTS
 from gaugeworks.model import HOUR_MS
 from gaugeworks.operators import hourly_rollup, latest_single, threshold_breach
-from gaugeworks.streaming import first_breach, hourly, latest, ring, sink
+from gaugeworks.streaming import daily, first_breach, hourly, latest, ring, sink
 
 SCHEMA = "sensor_id long, ts_ms long, value double, sensor_type string"
 
@@ -54,3 +54,31 @@ def test_sink(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert layout.count() == sum(map(len, PARTS))
+
+
+def test_breach_is_told_with_its_true_end_and_peak(spark, tmp_path):
+    parts = [[(7, 0, 100.0, "flow"), (7, 200, 101.0, "flow")], [(7, 300, 500.0, "flow")], [(7, 900, 90.0, "flow")], [(8, 50_000_000, 1.0, "flow")], [(8, 90_000_000, 1.0, "flow")], [(8, 90_000_001, 1.0, "flow")]]
+    got = run(first_breach(batches(spark, tmp_path, *parts), 50, 150, "10 seconds"), "append", "open_breach", tmp_path).collect()
+    # no reading ends the run; it is over once the watermark has left it behind
+    assert [tuple(r) for r in got] == [(7, 0, 900, 900, 500.0)]
+
+
+def test_days(spark, tmp_path):
+    day = 24 * HOUR_MS
+    parts = [[(1, 5, 1.0, "flow"), (1, day - 1, 3.0, "flow"), (2, day, 7.0, "co2")], [(1, day + 5, 9.0, "flow")]]
+    got = run(daily(batches(spark, tmp_path, *parts), "1 hour", ("sensor_id", "sensor_type")), "complete", "days", tmp_path).collect()
+    assert sorted((r.sensor_id, r.sensor_type, r.bucket_ms, r.avg_value, r.n) for r in got) == [(1, "flow", 0, 2.0, 2), (1, "flow", day, 9.0, 1), (2, "co2", day, 7.0, 1)]
+
+
+def test_sink_replays_and_retention(spark, tmp_path):
+    day = 24 * HOUR_MS
+    layout = LAYOUTS["Columnar"](spark, str(tmp_path / "kept"))
+    parts = [[(1, 0, 1.0, "flow"), (1, 0, 2.0, "co2")], [(1, 5 * day, 3.0, "flow"), (1, 5 * day, 4.0, "co2")]]
+    stream = batches(spark, tmp_path, *parts)
+    for _ in range(2):  # the second run starts from a checkpoint without the last batch's commit
+        q = sink(stream, layout, str(tmp_path / "sink2"), {"flow": 2})
+        q.processAllAvailable()
+        q.stop()
+        (tmp_path / "sink2/commits/1").unlink()
+        (tmp_path / "sink2/commits/.1.crc").unlink(missing_ok=True)
+    assert sorted(r.value for r in layout.readings().collect()) == [2.0, 3.0, 4.0]
