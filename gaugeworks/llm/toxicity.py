@@ -21,8 +21,9 @@ in many more different word contexts there than in ordinary documents. Contexts
 (the words before and after) count once, so copies of a document weigh nothing.
 
 Bounded sample (a classifier's): about ``SAMPLE`` labelled documents of either
-kind, drawn by a hash of the id; one in ``CALIBRATE`` of them is left out of the
-dictionaries and calibrates the scores.
+kind, drawn by a hash of the id, of each a stretch of at most ``SAMPLE_CHARS``
+characters, its place drawn by a hash of the text; one in ``CALIBRATE`` of them is
+left out of the dictionaries and calibrates the scores. Scored are whole texts.
 
 Defined results: null and empty texts have distance 0; repeated rows each give
 their row, but of an id's texts only the smallest is learned from, once for each
@@ -48,6 +49,8 @@ from .common import text_or_empty
 
 #: Sampled documents of each kind, by label.
 SAMPLE = {1: 2000, 0: 4000}
+#: Characters of a sampled document.
+SAMPLE_CHARS = 1 << 14
 CALIBRATE = 4
 GRAM = 5
 #: A gram is distinctive from so many contexts, so many standard deviations, and so many times the ordinary rate on. Of the ratios, the calibration documents choose the one with the fewest errors, the first of equal ones.
@@ -260,9 +263,12 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").distinct()
     sizes = {r.label: r.n for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("label") == 1, min(1.0, SAMPLE[1] / sizes.get(1, 1))).otherwise(min(1.0, SAMPLE[0] / sizes.get(0, 1)))
-    draw = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    draw = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 52)) / F.lit(float(1 << 52))
     sample = marked.filter(draw < share).withColumn("draw", draw)
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "id").groupBy("draw", "id", "label").agg(F.min("text").alias("text")).toArrow().to_pylist()
+    text = text_or_empty(text_col)
+    first = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    rows = docs.select(F.col(id_col).alias("id"), F.substring(text, first, F.lit(SAMPLE_CHARS)).alias("text")).join(F.broadcast(sample), "id")
+    rows = rows.groupBy("draw", "id", "label").agg(F.min("text").alias("text")).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["draw"], str(r["id"]), r["label"]))
     return fit([r["text"] for r in rows if r["label"] == 1], [r["text"] for r in rows if r["label"] == 0])
 

@@ -79,3 +79,28 @@ def test_toxic_words_in_a_script_without_blanks():
     scorer = toxicity.Scorer(model)
     assert sum(model.score(scorer.document(toxic())) >= 0.5 for _ in range(200)) >= 190
     assert sum(model.score(scorer.document(draw())) >= 0.5 for _ in range(200)) <= 10
+
+
+def test_scores_are_those_of_two_dictionaries():
+    """Straight from the definition, with the dictionary in each call and no memory of words."""
+    import re
+
+    import zstandard
+
+    rng = random.Random(9)
+    toxic = [" ".join(rng.choice(["vilething", "grimword", "calm", "river", "stone"]) for _ in range(30)) for _ in range(60)]
+    plain = [" ".join(rng.choice(["calm", "river", "stone", "meadow", "lantern"]) for _ in range(30)) for _ in range(120)]
+    model = toxicity.fit(toxic, plain)
+    held = [zstandard.ZstdCompressionDict(d + toxicity._AFTER + toxicity._BEFORE, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (model.ordinary, model.toxic)]
+
+    def size(window, k):
+        one = zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=held[k], write_checksum=False, write_content_size=False, write_dict_id=False)
+        return len(one.compress(toxicity._BEFORE + window + toxicity._AFTER))
+
+    def brute(text):
+        windows = [f" {w} ".encode() for w in re.findall(r"\w+", text.lower())]
+        return max([(size(w, 0) - size(w, 1)) / len(w) for w in windows], default=0.0)
+
+    for text in [*toxic[:5], *plain[:5], "", "?!", "River, vilething!", "unseen words only"]:
+        assert toxicity.Scorer(model).document(text) == max(0.0, brute(text))
+    assert all(model.score(toxicity.Scorer(model).document(t)) >= 0.5 for t in toxic) and all(model.score(toxicity.Scorer(model).document(t)) < 0.5 for t in plain)
