@@ -48,9 +48,9 @@ COMMON, IDF_FLOOR = 0.1, 0.75
 #: Weights are whole multiples of 1 / UNIT.
 UNIT = 64
 #: Texts and shingles of a group that one task compares; larger groups are dealt into blocks of about as many.
-GROUP, GROUP_FEATURES = 4096, 4_000_000
+GROUP, GROUP_FEATURES = 512, 4_000_000
 #: Pivots of a group in the first round, and in a later one.
-PIVOTS, BLOCK = 4096, 4096
+PIVOTS, BLOCK = 64, 4096
 #: Texts that hold a feature for it to be compared by pairs; rows compared at a time.
 FEW, ROW_BLOCK = 24, 512
 #: Rows of the tables from which a shingle draws its random numbers.
@@ -357,6 +357,12 @@ def _compare_pivots(vectors: DataFrame, pivots: DataFrame) -> DataFrame:
     return members.unionByName(copies).repartition("root", "block").sortWithinPartitions("root", "block", "member", "key").mapInArrow(lean(compare), _EDGES)
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of root, key, ... with their group's facts (a row a root), which a large group's rows meet in shares."""
+    groups = groups.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(groups, ["root", "salt"]).drop("salt")
+
+
 def _compare_large(vectors: DataFrame) -> DataFrame:
     """Links of groups that fit no task, round by round."""
     empty = vectors.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
@@ -367,12 +373,12 @@ def _compare_large(vectors: DataFrame) -> DataFrame:
     while True:
         sizes = labels.groupBy("root", "class").agg(F.count("*").alias("n"))
         largest = sizes.groupBy("root").agg(F.max(F.struct("n", "class")).alias("top")).select("root", F.col("top.class").alias("largest"))
-        open_ = labels.join(largest, "root").filter(F.lit(True) if turn == 0 else F.col("class") != F.col("largest")).join(done, "key", "left_anti").select("root", "key")
+        open_ = _with_groups(labels, largest).filter(F.lit(True) if turn == 0 else F.col("class") != F.col("largest")).join(done, "key", "left_anti").select("root", "key")
         left = open_.groupBy("root").agg(F.count("*").alias("open"))
         want = BLOCK if turn else PIVOTS
         # about so many of a group's open texts, drawn afresh every round: an old draw has used up the texts that it favours
         draw = F.pmod(F.xxhash64("key", F.lit("pivot"), F.lit(turn)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        chosen = open_.join(left, "root").filter((F.col("open") <= want) | (draw <= F.lit(float(want)) / F.col("open"))).select("key")
+        chosen = _with_groups(open_, left).filter((F.col("open") <= want) | (draw <= F.lit(float(want)) / F.col("open"))).select("key")
         chosen = materialise(chosen, "pivots")
         if chosen.isEmpty():
             if open_.isEmpty():
@@ -449,7 +455,7 @@ def _classes_of_texts(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFr
     large = materialise(sizes.withColumn("blocks", blocks).filter("blocks > 1").select("root", "blocks"), "large-groups")
     edges = _compare_groups(vectors.join(large, "root", "left_anti"))
     if not large.isEmpty():
-        edges = edges.unionByName(_compare_large(materialise(vectors.join(large, "root"), "large-vectors")))
+        edges = edges.unionByName(_compare_large(materialise(_with_groups(vectors, large), "large-vectors")))
     return members, components(edges, "classes").select(F.col("node").alias("key"), F.col("root").alias("class"))
 
 
