@@ -46,7 +46,7 @@ DIGEST = 16
 #: Filter bits a line, bits set by a key.
 BITS, PROBES = 16, 4
 #: Bits of a segment, at least and at most, and segments to have before they grow.
-SMALL, LARGE, SPREAD = 1 << 20, 1 << 26, 64
+SMALL, LARGE, SPREAD = 1 << 16, 1 << 26, 64
 #: Shares in which a repeated line's documents meet it.
 SALTS = 8
 #: Keys that a task gathers before it hands on a partial filter and digests.
