@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import random
 from collections import Counter
 
 import duckdb
@@ -115,6 +116,29 @@ def test_threshold_breach(spark):
     assert op.threshold_breach(open_, 50, 1000, 1).first().end_ts == 5000
 
 
+def first_breach_by_hand(readings, threshold, least):
+    found = {}
+    for sensor in {r[0] for r in readings}:
+        run = []
+        for _, ts, value, _ in [*sorted(r for r in readings if r[0] == sensor), (sensor, None, threshold, "")]:
+            if value > threshold:
+                run.append((ts, value))
+                continue
+            if run and run[-1][0] - run[0][0] >= least:
+                found.setdefault(sensor, (run[0][0], run[-1][0], run[-1][0] - run[0][0], max(v for _, v in run)))
+            run = []
+    return {(s, *v) for s, v in found.items()}
+
+
+@pytest.mark.parametrize("slice_ms", [1, 7, 50, 10_000])
+def test_runs_that_slices_of_time_cut(spark, slice_ms):
+    draw = random.Random(5)
+    steps = [(sensor, draw.randrange(-150, 150), float(draw.random() < 0.3 + 0.09 * sensor), "flow") for sensor in range(8) for _ in range(120)]
+    readings = rows(spark, *steps)
+    for least in (0, 6, 25):
+        assert {tuple(r) for r in op.threshold_breach(readings, 0.5, least, slice_ms=slice_ms).collect()} == first_breach_by_hand(steps, 0.5, least)
+
+
 def test_rollups(spark, fixture):
     hours = op.hourly_rollup(fixture.readings, 2, 0).orderBy("bucket_ms").collect()
     assert len(hours) == 49 and all(r.n == 1 and r.bucket_ms % HOUR_MS == 0 for r in hours)
