@@ -47,7 +47,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(crc32_of_id("doc_id"), F.lit(5)) == 0
     model = toxicity.learn(docs, labels.filter(~held_out))
     scored = toxicity.score(docs, model, ["doc_id"], "text")
-    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "distance")
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "distance", "passage_distance")
 
 
 def op6_mpeg_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,19 +5,24 @@ window, a word with its blanks, is compressed with either between the same
 carrier bytes, which both dictionaries end with; a carrier costs one match, so
 the rest is the window's own length under that dictionary. A window's
 distance is the bytes that the toxic dictionary saves over the ordinary one,
-as a share of the window's bytes. A document's is its largest, and a monotone
-calibration turns that into a score.
+as a share of the window's bytes. A document has two distances: that of its
+largest window, and that of its strongest passage: the ``STRONGEST`` distinct
+words that save most bytes in two successive blocks of ``BLOCK_WORDS`` words, and
+their mean saving (a long run counts as ``LONG_CHARS`` bytes at the share of its
+best window). Words that ordinary text has now and then tell nothing singly, but
+some of them close together do. A monotone calibration turns either distance into
+a score, with thresholds chosen together; the larger score counts.
 
 Runs of over ``LONG_CHARS`` letters (scripts without blanks, words joined by
 underscores) are also covered by windows of ``SLIDE_CHARS`` at steps of
 ``SLIDE_STEP``, so that a word within them is neither split nor diluted. The
 dictionaries learn from such runs in pieces of ``WINDOW_CHARS``, by grams of
-``GRAM`` characters: within a run, shorter words are learned only with their
+``GRAMS`` characters: within a run, shorter words are learned only with their
 neighbours.
 
 The toxic dictionary learns from the toxic documents' distinctive spans, as
-toxic documents are mostly ordinary text: characters under 5-grams that stand
-in many more different word contexts there than in ordinary documents. Contexts
+toxic documents are mostly ordinary text: characters under grams that stand in
+many more different word contexts there than in ordinary documents. Contexts
 (the words before and after) count once, so copies of a document weigh nothing.
 
 Bounded sample (a classifier's): about ``SAMPLE`` labelled documents of either
@@ -25,7 +30,7 @@ kind, drawn by a hash of the id, of each a stretch of at most ``SAMPLE_CHARS``
 characters, its place drawn by a hash of the text; one in ``CALIBRATE`` of them is
 left out of the dictionaries and calibrates the scores. Scored are whole texts.
 
-Defined results: null and empty texts have distance 0; repeated rows each give
+Defined results: null and empty texts have distances of 0; repeated rows each give
 their row, but of an id's texts only the smallest is learned from, once for each
 of its labels; without toxic or without
 ordinary labels all scores are 0; nothing but the id columns and text is read
@@ -35,10 +40,11 @@ for a score.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,7 +58,8 @@ SAMPLE = {1: 2000, 0: 4000}
 #: Characters of a sampled document.
 SAMPLE_CHARS = 1 << 14
 CALIBRATE = 4
-GRAM = 5
+#: Lengths of grams: the shorter find a word within others, the longer its whole stem where its parts are ordinary.
+GRAMS = (5, 8)
 #: A gram is distinctive from so many contexts, so many standard deviations, and so many times the ordinary rate on. Of the ratios, the calibration documents choose the one with the fewest errors, the first of equal ones.
 MIN_CONTEXTS, MIN_Z, MIN_RATIOS = 5, 3.0, (40.0, 10.0, 5.0)
 ORDINARY_BYTES, TOXIC_BYTES = 1 << 14, 1 << 12
@@ -61,6 +68,8 @@ LEVEL = 3
 WINDOW_CHARS = 48
 #: Over longer runs slide windows of about a word's length, in characters.
 LONG_CHARS, SLIDE_CHARS, SLIDE_STEP = 16, 8, 2
+#: A passage is two successive blocks of words; so many of its windows count.
+BLOCK_WORDS, STRONGEST = 64, 3
 #: Words whose distance a worker remembers.
 CACHE = 1 << 19
 #: Without enough labels to calibrate, a window that the toxic dictionary shortens by this share is toxic.
@@ -78,17 +87,16 @@ def words_of(text: str) -> list[str]:
     return found
 
 
-def windows_of(text: str) -> Iterator[str]:
-    """Distinct words, long runs in pieces, and the windows that slide over each long run, borders of its pieces included."""
-    for run in set(_WORD.findall(text.lower())):
-        if len(run) <= LONG_CHARS:
-            yield run
-            continue
-        for i in range(0, len(run), WINDOW_CHARS):
-            yield run[i : i + WINDOW_CHARS]
-        for i in range(0, len(run) - SLIDE_CHARS, SLIDE_STEP):
-            yield run[i : i + SLIDE_CHARS]
-        yield run[-SLIDE_CHARS:]
+def windows_of(run: str) -> Iterator[str]:
+    """A word itself; a long run in pieces, and the windows that slide over it, borders of its pieces included."""
+    if len(run) <= LONG_CHARS:
+        yield run
+        return
+    for i in range(0, len(run), WINDOW_CHARS):
+        yield run[i : i + WINDOW_CHARS]
+    for i in range(0, len(run) - SLIDE_CHARS, SLIDE_STEP):
+        yield run[i : i + SLIDE_CHARS]
+    yield run[-SLIDE_CHARS:]
 
 
 @dataclass
@@ -98,6 +106,9 @@ class Model:
     #: Calibration: distances, ascending, and the score from each on.
     distances: list[float]
     scores: list[float]
+    #: The same of passages; without them only single windows count.
+    passage_distances: list[float] = field(default_factory=lambda: [0.0])
+    passage_scores: list[float] = field(default_factory=lambda: [0.0])
 
     def compressors(self) -> tuple:
         import zstandard
@@ -109,10 +120,10 @@ class Model:
             out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
         return tuple(out)
 
-    def score(self, distance: float) -> float:
+    def score(self, distance: float, passage: float = 0.0) -> float:
         import numpy as np
 
-        return float(np.interp(distance, self.distances, self.scores))
+        return float(max(np.interp(distance, self.distances, self.scores), np.interp(passage, self.passage_distances, self.passage_scores)))
 
 
 class Scorer:
@@ -127,9 +138,10 @@ class Scorer:
         data = _BEFORE + window + _AFTER
         return (len(self.ordinary(data)) - len(self.toxic(data))) / len(window)
 
-    def document(self, text: str | None) -> float:
+    def run(self, run: str) -> float:
+        """The largest distance of a run's windows, 0 at least."""
         known, most = self.known, 0.0
-        for w in windows_of(text or ""):
+        for w in windows_of(run):
             d = known.get(w)
             if d is None:
                 if len(known) > CACHE:
@@ -139,10 +151,30 @@ class Scorer:
                 most = d
         return most
 
+    def distances(self, text: str | None) -> tuple[float, float]:
+        """Of the largest window, and of the strongest passage."""
+        words = _WORD.findall((text or "").lower())
+        most = passage = 0.0
+        before: dict[str, float] = {}
+        for at in range(0, len(words), BLOCK_WORDS):
+            block = {}
+            for w in set(words[at : at + BLOCK_WORDS]):
+                d = self.run(w)
+                if d > 0:
+                    most = max(most, d)
+                    block[w] = d * (min(len(w.encode("utf-8", "replace")), LONG_CHARS) + 2)
+            if block:
+                passage = max(passage, sum(heapq.nlargest(STRONGEST, {**before, **block}.values())) / STRONGEST)
+            before = block
+        return most, passage
+
+    def document(self, text: str | None) -> float:
+        return self.distances(text)[0]
+
 
 def _grams(word: str) -> list[str]:
     padded = f" {word} "
-    return [padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)]
+    return [padded[i : i + n] for n in GRAMS for i in range(len(padded) - n + 1)]
 
 
 def _contexts(texts: Sequence[str], vocabulary: dict[str, int]):
@@ -198,13 +230,15 @@ def spans(text: str, grams: set[str]) -> list[str]:
     for word in words_of(text):
         padded = f" {word} "
         end = start = -1
-        for i in range(len(padded) - GRAM + 1):
-            if padded[i : i + GRAM] in grams:
-                if i > end:
-                    if end > 0:
-                        out.append(padded[start:end])
-                    start = i
-                end = i + GRAM
+        for i in range(len(padded)):
+            reach = max((i + n for n in GRAMS if padded[i : i + n] in grams), default=-1)
+            if reach < 0:
+                continue
+            if i > end:
+                if end > 0:
+                    out.append(padded[start:end])
+                start = i
+            end = max(end, reach)
         if end > 0:
             out.append(padded[start:end])
     return out
@@ -220,8 +254,15 @@ def _dictionary(size: int, samples: list[bytes], segment: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def _points(x, y, threshold: float) -> tuple[list[float], list[float]]:
+    """A rising score: 0.5 at the threshold, the kinds' rates at the ends."""
+    below = x < threshold
+    low, high = y[below].mean() if below.any() else 0.0, y[~below].mean() if not below.all() else 1.0
+    return [min(0.0, x.min()) - 1e-9, threshold, max(x.max(), threshold + 1e-6)], [float(min(low, 0.4)) / 2, 0.5, float(max(high, 0.6))]
+
+
 def calibrate(distances: Sequence[float], labels: Sequence[int]) -> tuple[list[float], list[float], int]:
-    """Points of a rising score: 0.5 at the threshold with the fewest errors (of equal ones, in the widest gap), the kinds' rates at the ends. And how many errors."""
+    """Points of the score whose threshold has the fewest errors (of equal ones, that in the widest gap). And how many errors."""
     import numpy as np
 
     order = np.argsort(distances, kind="stable")
@@ -231,9 +272,34 @@ def calibrate(distances: Sequence[float], labels: Sequence[int]) -> tuple[list[f
     if not len(cuts) or errors.min() >= y.sum():  # distances tell nothing
         return [0.0, DEFAULT_THRESHOLD, 1.0], [0.0, 0.5, 1.0], int(y.sum())
     best = max(cuts[errors == errors.min()], key=lambda c: x[c] - x[c - 1])
-    threshold = (x[best - 1] + x[best]) / 2
-    low, high = y[:best].mean(), y[best:].mean()
-    return [min(0.0, x[0]) - 1e-9, threshold, max(x[-1], threshold + 1e-6)], [float(min(low, 0.4)) / 2, 0.5, float(max(high, 0.6))], int(errors.min())
+    return *_points(x, y, float((x[best - 1] + x[best]) / 2)), int(errors.min())
+
+
+def calibrate_both(distances: Sequence[float], passages: Sequence[float], labels: Sequence[int]) -> tuple[list[float], list[float], list[float], list[float], int]:
+    """Points for windows and for passages, and how many errors: the pair of thresholds with the fewest (of equal ones, that in the widest gap of passages, then of windows); windows alone, if passages save no error."""
+    import numpy as np
+
+    alone = calibrate(distances, labels)
+    order = np.argsort(distances, kind="stable")
+    x, z, y = np.asarray(distances, float)[order], np.asarray(passages, float)[order], np.asarray(labels)[order]
+    cuts = np.append(np.flatnonzero(np.diff(x) > 0) + 1, len(x))  # the last one: no window is enough
+    gaps = np.append(x[cuts[:-1]] - x[cuts[:-1] - 1], 0.0)
+    steps = np.unique(z)
+    fewest, best = (alone[2], 0.0, 0.0), None
+    for low, high in zip(steps[:-1], steps[1:], strict=True):
+        told = z >= high
+        missed = np.cumsum((y == 1) & ~told)  # below a cut
+        wrong = ((y == 0) & ~told)[::-1].cumsum()[::-1]  # from a cut on
+        errors = missed[cuts - 1] + np.append(wrong, 0)[cuts] + ((y == 0) & told).sum()
+        c = np.lexsort((-gaps, errors))[0]
+        rank = (int(errors[c]), float(low - high), -float(gaps[c]))
+        if rank[0] < alone[2] and rank < fewest:
+            fewest, best = rank, (int(cuts[c]), float((low + high) / 2))
+    if best is None:
+        return alone[0], alone[1], [0.0], [0.0], alone[2]
+    at, passage = best
+    window = float((x[at - 1] + x[at]) / 2) if at < len(x) else max(float(x[-1]) + 1e-6, DEFAULT_THRESHOLD)
+    return *_points(x, y, window), *_points(z, y, passage), fewest[0]
 
 
 def fit(toxic: Sequence[str], ordinary: Sequence[str]) -> Model | None:
@@ -251,8 +317,8 @@ def fit(toxic: Sequence[str], ordinary: Sequence[str]) -> Model | None:
         if few:
             return model
         scorer = Scorer(model)
-        left = [(scorer.document(t), label) for label, x in ((1, toxic), (0, ordinary)) for t in x[::CALIBRATE]]
-        model.distances, model.scores, errors = calibrate([d for d, _ in left], [y for _, y in left])
+        left = [(*scorer.distances(t), label) for label, x in ((1, toxic), (0, ordinary)) for t in x[::CALIBRATE]]
+        model.distances, model.scores, model.passage_distances, model.passage_scores, errors = calibrate_both(*zip(*left, strict=True))
         if errors < fewest:
             best, fewest = model, errors
     return best
@@ -274,16 +340,17 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def score(docs: DataFrame, model: Model | None, id_cols: Sequence[str], text_col: str) -> DataFrame:
-    """One row per input row: the id columns, score, distance."""
-    schema = T.StructType([*[docs.schema[c] for c in id_cols], T.StructField("score", T.DoubleType()), T.StructField("distance", T.DoubleType())])
+    """One row per input row: the id columns, score, distance, passage_distance."""
+    schema = T.StructType([*[docs.schema[c] for c in id_cols], T.StructField("score", T.DoubleType()), T.StructField("distance", T.DoubleType()), T.StructField("passage_distance", T.DoubleType())])
     if model is None:
-        return docs.select(*id_cols, F.lit(0.0).alias("score"), F.lit(0.0).alias("distance"))
+        return docs.select(*id_cols, F.lit(0.0).alias("score"), F.lit(0.0).alias("distance"), F.lit(0.0).alias("passage_distance"))
     held = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
         for batch in batches:
-            distances = [scorer.document(t) for t in batch.column(len(id_cols)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(id_cols))), pa.array([held.value.score(d) for d in distances], pa.float64()), pa.array(distances, pa.float64())], names=schema.names)
+            found = [scorer.distances(t) for t in batch.column(len(id_cols)).to_pylist()]
+            values = [[held.value.score(*d) for d in found], [d for d, _ in found], [p for _, p in found]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(id_cols))), *(pa.array(v, pa.float64()) for v in values)], names=schema.names)
 
     return docs.select(*[F.col(c).alias(f"_id{i}") for i, c in enumerate(id_cols)], F.col(text_col).alias("_text")).mapInArrow(run, schema)

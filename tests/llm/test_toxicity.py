@@ -104,3 +104,41 @@ def test_scores_are_those_of_two_dictionaries():
     for text in [*toxic[:5], *plain[:5], "", "?!", "River, vilething!", "unseen words only"]:
         assert toxicity.Scorer(model).document(text) == max(0.0, brute(text))
     assert all(model.score(toxicity.Scorer(model).document(t)) >= 0.5 for t in toxic) and all(model.score(toxicity.Scorer(model).document(t)) < 0.5 for t in plain)
+
+
+def test_passages_from_their_definition():
+    data = rows()
+    model = toxicity.fit([t for _, t, y in data if y], [t for _, t, y in data if not y])
+    scorer = toxicity.Scorer(model)
+    size, top = toxicity.BLOCK_WORDS, toxicity.STRONGEST
+
+    def brute(text):
+        words = text.lower().split()
+        saved = {w: scorer.run(w) * (len(w) + 2) for w in words if len(w) <= toxicity.LONG_CHARS}
+        best = 0.0
+        for at in range(0, len(words), size):
+            within = set(words[max(0, at - size) : at + size])
+            best = max(best, sum(sorted((saved[w] for w in within), reverse=True)[:top]) / top)
+        return best
+
+    for _, text, _ in data[:60]:
+        text = " ".join(w for w in text.split() if len(w) <= toxicity.LONG_CHARS)
+        assert abs(scorer.distances(text)[1] - brute(text)) < 1e-9
+    once = "vexwort " + "the " * 500
+    assert scorer.distances(once * 3)[1] == scorer.distances(once)[1]  # far apart, or the same word again
+
+
+def test_thresholds_of_windows_and_passages():
+    """Against trying every pair of thresholds."""
+    rng = random.Random(3)
+    for _ in range(30):
+        n = rng.randint(4, 25)
+        x, z = [0.0, *(rng.randrange(6) / 6 for _ in range(n))], [0.0, *(rng.randrange(6) / 2 for _ in range(n))]
+        y = [0, *(int(a + b / 3 + rng.random() > 1.4) for a, b in zip(x[1:], z[1:], strict=True))]
+        cases = list(zip(x, z, y, strict=True))
+        tried = [(a, b) for a in [i / 6 - 0.01 for i in range(1, 8)] for b in [i / 2 - 0.01 for i in range(1, 8)]]
+        *points, errors = toxicity.calibrate_both(x, z, y)
+        model = toxicity.Model(b"", b"", *points)
+        assert errors == min(sum((p >= a or q >= b) != bool(label) for p, q, label in cases) for a, b in tried)
+        if errors < sum(y):
+            assert errors == sum((model.score(p, q) >= 0.5) != bool(label) for p, q, label in cases)
