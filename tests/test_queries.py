@@ -206,7 +206,7 @@ def test_session_zone_does_not_move_times(spark):
 
 
 def test_queries_without_sql(spark):
-    assert set(QUERIES) - set(ORACLE_SQL) == {"ifc_elements", "placed_sensors", "synthetic_readings"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"synthetic_readings"}
     elements = {r.element_type: r["count"] for r in QUERIES["ifc_elements"](spark, DATA).groupBy("element_type").count().collect()}
     assert elements == {"project": 1, "site": 1, "building": 2, "storey": 6, "space": 24, "wall": 24, "flow_segment": 24, "equipment": 24, "beam": 6}
     placed = QUERIES["placed_sensors"](spark, DATA).collect()
