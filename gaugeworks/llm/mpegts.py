@@ -7,7 +7,8 @@ is a PES packet with a presentation timestamp, and every ``GROUP``-th unit is a
 random-access point with a clock reference, before which the tables repeat.
 ``demux`` finds the program through the tables, checks their CRC and all
 continuity counters, reassembles the elementary packets, and returns the
-payload with its timestamps and random-access points.
+payload with its timestamps and random-access points, which ``analyse`` stores
+as columns beside the stream's facts.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; equal
 texts give equal streams and features; repeated rows each give their row; only
@@ -31,7 +32,7 @@ from .common import materialise, utf8
 
 # Fixed values of the transport format.
 PACKET, SYNC = 188, 0x47
-PAT_PID, PMT_PID, MEDIA_PID, PROGRAM = 0x0000, 0x1000, 0x0100, 1
+PAT_PID, PMT_PID, MEDIA_PID, NULL_PID, PROGRAM = 0x0000, 0x1000, 0x0100, 0x1FFF, 1
 STREAM_TYPE, STREAM_ID = 0x06, 0xBD  # PES packets of private data, private_stream_1
 CRC_POLYNOMIAL = 0x04C11DB7
 
@@ -118,31 +119,94 @@ def mux(payload: bytes) -> bytes:
 class Stream:
     payload: bytes = b""
     timestamps: list[int] = field(default_factory=list)
-    random_access: list[tuple[int, int]] = field(default_factory=list)  # (timestamp, packet)
+    random_access: list[tuple[int | None, int]] = field(default_factory=list)  # (timestamp, packet)
     packets: int = 0
     discontinuities: int = 0
 
 
-def _read_section(body: bytes, table_id: int) -> bytes:
-    at = 1 + body[0]
-    length = int.from_bytes(body[at + 1 : at + 3], "big") & 0xFFF
-    section = body[at : at + 3 + length]
-    if section[:1] != bytes([table_id]) or len(section) != 3 + length or crc32_mpeg(section):
-        raise TransportError(f"damaged table {table_id}")
-    return section
+class _Sections:
+    """The sections of a PID's tables, which may share packets or run over several."""
+
+    def __init__(self):
+        self.open: bytes | None = None
+        self.whole = b""  # the last packet that held whole sections only
+
+    def lost(self) -> None:
+        self.open = None
+
+    def take(self, body: bytes, begins: bool) -> list[bytes]:
+        if begins and self.open is None and body == self.whole:  # repeated tables
+            return []
+        found, fresh = [], self.open is None
+        if begins:
+            at = 1 + body[0]
+            if self.open is not None:
+                self.open += body[1:at]
+                found += self._closed()
+            self.open = body[at:]
+        elif self.open is not None:
+            self.open += body
+        found += self._closed()
+        if begins and fresh and self.open is None:
+            self.whole = body
+        return found
+
+    def _closed(self) -> list[bytes]:
+        found = []
+        while self.open and self.open[0] != 0xFF and len(self.open) >= 3:
+            length = 3 + (int.from_bytes(self.open[1:3], "big") & 0xFFF)
+            if len(self.open) < length:
+                return found
+            section, self.open = self.open[:length], self.open[length:]
+            if crc32_mpeg(section):
+                raise TransportError(f"damaged table {section[0]}")
+            found.append(section)
+        if not self.open or self.open[0] == 0xFF:  # what follows is stuffing
+            self.open = None
+        return found
 
 
 def _read_timestamp(b: bytes) -> int:
     return (b[0] >> 1 & 7) << 30 | (int.from_bytes(b[1:3], "big") >> 1) << 15 | int.from_bytes(b[3:5], "big") >> 1
 
 
+class _Program:
+    """The first program of the association table, and its first elementary stream."""
+
+    def __init__(self):
+        self.version, self.listed = -1, {}  # of the association table: programs by section number
+        self.number = self.map_pid = self.media_pid = None
+
+    def read(self, pid: int, section: bytes) -> None:
+        if not section[5] & 1:  # not in force yet
+            return
+        if pid == PAT_PID and section[0] == 0x00:
+            version = section[5] >> 1 & 31
+            if version != self.version:
+                self.version, self.listed = version, {}
+            entries = [section[i : i + 4] for i in range(8, len(section) - 4, 4)]
+            self.listed[section[6]] = [(int.from_bytes(e[:2], "big"), int.from_bytes(e[2:], "big") & 0x1FFF) for e in entries if e[:2] != b"\0\0"]
+            self.number, self.map_pid = next((p for _, ps in sorted(self.listed.items()) for p in ps), (None, None))
+        elif pid == self.map_pid and section[0] == 0x02 and int.from_bytes(section[3:5], "big") == self.number:
+            first = 12 + (int.from_bytes(section[10:12], "big") & 0xFFF)
+            if first + 5 <= len(section) - 4:
+                self.media_pid = int.from_bytes(section[first + 1 : first + 3], "big") & 0x1FFF
+
+
 def demux(stream: bytes) -> Stream:
-    """The first program's first elementary stream."""
+    """The first program's first elementary stream.
+
+    A packet's counter follows its PID's last one, unless the packet says that it
+    doesn't. One repeat of a packet is permitted and left out. Packets marked as
+    damaged in transport are left out, so the next counter tells. A table cut
+    short by a lost packet or the stream's end counts as a discontinuity.
+    """
     if len(stream) % PACKET:
         raise TransportError("not a whole number of packets")
-    out, pmt_pid, media_pid, parts, pes = Stream(packets=len(stream) // PACKET), None, None, [], []
-    counters: dict[int, int] = {}
-    tables: dict[int, bytes] = {}
+    out, program, parts, pes = Stream(packets=len(stream) // PACKET), _Program(), [], []
+    last: dict[int, tuple[int, bytes, bool]] = {}  # by PID: counter, payload, whether it may be repeated: not after a break, when counters tell nothing
+    sections: dict[int, _Sections] = {}
+    random_at: int | None = None  # the packet where the open elementary packet began, if that is a random-access point
 
     def close() -> None:
         data = b"".join(pes)
@@ -152,48 +216,52 @@ def demux(stream: bytes) -> Stream:
         length, head = int.from_bytes(data[4:6], "big"), 9 + data[8]
         if length and len(data) != 6 + length:
             raise TransportError("elementary packet of another length")
-        if data[7] & 0x80:
-            out.timestamps.append(_read_timestamp(data[9:14]))
+        pts = _read_timestamp(data[9:14]) if data[7] & 0x80 else None
+        if pts is not None:
+            out.timestamps.append(pts)
+        if random_at is not None:
+            out.random_access.append((pts, random_at))
         parts.append(data[head:])
 
     for n, at in enumerate(range(0, len(stream), PACKET)):
         if stream[at] != SYNC:
             raise TransportError(f"no sync byte in packet {n}")
-        flags, low, control = stream[at + 1], stream[at + 2], stream[at + 3]
-        pid, begins, body, random = (flags & 0x1F) << 8 | low, flags & 0x40, at + 4, False
+        flags, control = stream[at + 1], stream[at + 3]
+        if flags & 0x80:
+            continue
+        pid, begins, body, marks = (flags & 0x1F) << 8 | stream[at + 2], bool(flags & 0x40), at + 4, 0
         if control & 0x20:
             size = stream[body]
-            random = size > 0 and bool(stream[body + 1] & 0x40)
+            marks = stream[body + 1] if size else 0
             body += 1 + size
-        if control & 0x10:
-            if pid in counters and control & 15 != counters[pid] + 1 & 15:
+        if not control & 0x10 or pid == NULL_PID:
+            continue
+        payload, counter = stream[body : at + PACKET], control & 15
+        follows = True
+        if pid in last and not marks & 0x80:
+            before, held, repeatable = last[pid]
+            if counter == before and payload == held and repeatable:
+                last[pid] = (counter, payload, False)
+                continue
+            follows = counter == before + 1 & 15
+            if not follows:
                 out.discontinuities += 1
-            counters[pid] = control & 15
-        if pid == media_pid:
+                if pid in sections:
+                    sections[pid].lost()
+        last[pid] = (counter, payload, follows)
+        if pid == program.media_pid:
             if begins:
                 if pes:
                     close()
-                if random:
-                    out.random_access.append((-1, n))
-                starts_random = random
-            pes.append(stream[body : at + PACKET])
-            if begins and starts_random:
-                out.random_access[-1] = (_read_timestamp(pes[0][9:14]), n)
-        elif pid in (PAT_PID, pmt_pid):
-            data = stream[body : at + PACKET]
-            if tables.get(pid) == data:  # a repeated table
-                continue
-            tables[pid] = data
-            if pid == PAT_PID:
-                section = _read_section(data, 0x00)
-                programs = [section[i : i + 4] for i in range(8, len(section) - 4, 4)]
-                pmt_pid = next((int.from_bytes(p[2:], "big") & 0x1FFF for p in programs if p[:2] != b"\0\0"), None)
-            else:
-                section = _read_section(data, 0x02)
-                first = 12 + (int.from_bytes(section[10:12], "big") & 0xFFF)
-                media_pid = int.from_bytes(section[first + 1 : first + 3], "big") & 0x1FFF
+                random_at = n if marks & 0x40 else None
+            if begins or pes:
+                pes.append(payload)
+        elif pid in (PAT_PID, program.map_pid):
+            for section in sections.setdefault(pid, _Sections()).take(payload, begins):
+                program.read(pid, section)
     if pes:
         close()
+    out.discontinuities += sum(s.open is not None for s in sections.values())
     out.payload = b"".join(parts)
     return out
 
@@ -208,7 +276,8 @@ def feature(found: Stream) -> str:
 
     shares = np.bincount(np.frombuffer(found.payload, np.uint8) >> 5, minlength=8) * 1000 // max(1, len(found.payload))
     access = ",".join(f"{t}@{n}" for t, n in found.random_access)
-    return f"packets={found.packets};units={len(found.timestamps)};pts={found.timestamps[0]}-{found.timestamps[-1]};access={access};breaks={found.discontinuities};bytes={','.join(map(str, shares))}"
+    span = f"{found.timestamps[0]}-{found.timestamps[-1]}" if found.timestamps else "-"
+    return f"packets={found.packets};units={len(found.timestamps)};pts={span};access={access};breaks={found.discontinuities};bytes={','.join(map(str, shares))}"
 
 
 def store(df: DataFrame, id_cols: Sequence[str], text_col: str) -> DataFrame:
@@ -227,11 +296,12 @@ def store(df: DataFrame, id_cols: Sequence[str], text_col: str) -> DataFrame:
 
 
 def analyse(media: DataFrame, id_cols: Sequence[str], *, with_payload: bool = False) -> DataFrame:
-    """Per stored stream: n_bytes, payload and media digests, and features; with_payload adds payload, timestamps, random_access."""
+    """Per stored stream: n_bytes, payload and media digests, features, timestamps (one an access unit that has one), random_access (timestamp and packet); with_payload adds payload."""
     fields = [*[media.schema[c] for c in id_cols], T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())]
+    point = T.StructType([T.StructField("pts", T.LongType()), T.StructField("packet", T.LongType())])
+    fields += [T.StructField("timestamps", T.ArrayType(T.LongType())), T.StructField("random_access", T.ArrayType(point))]
     if with_payload:
-        point = T.StructType([T.StructField("pts", T.LongType()), T.StructField("packet", T.LongType())])
-        fields += [T.StructField("payload", T.BinaryType()), T.StructField("timestamps", T.ArrayType(T.LongType())), T.StructField("random_access", T.ArrayType(point))]
+        fields.append(T.StructField("payload", T.BinaryType()))
     schema = T.StructType(fields)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +315,9 @@ def analyse(media: DataFrame, id_cols: Sequence[str], *, with_payload: bool = Fa
                 for data in part.column(part.num_columns - 1).to_pylist():
                     found = demux(data)
                     p = found.payload
-                    row = [len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature(found)]
+                    row = [len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature(found), found.timestamps, [{"pts": t, "packet": n} for t, n in found.random_access]]
                     if with_payload:
-                        row += [p, found.timestamps, [{"pts": t, "packet": n} for t, n in found.random_access]]
+                        row.append(p)
                     for c, v in zip(columns, row, strict=True):
                         c.append(v)
                 ids = [part.column(i) for i in range(len(id_cols) + 1)]
