@@ -14,8 +14,10 @@ share of common links in the larger fingerprint.
 All of it is DataFrame functions. ``near_next`` and the edit need each
 document's successor by descending id. Documents are ordered by (id, hash of
 the text). A sort of these two alone, without texts, cuts the order into ranges
-of about ``RANGE_ROWS`` documents, at most ``MAX_RANGES``, whatever the ids'
-type and spread, and however many documents share one. A range's last document
+of about ``RANGE_ROWS`` documents, about ``MAX_RANGES`` at most, whatever the ids'
+type and spread, and however many documents share one. The sort is dealt by
+sampled bounds into far fewer parts than ranges, each cut by its rows' numbers,
+as the driver holds about 300 samples of each part. A range's last document
 borrows the first one of the next range, so texts are shuffled once and no task
 sorts the whole table.
 
@@ -37,6 +39,8 @@ K, S = 5, 2
 SYMBOL_CHARS = 16
 #: Documents of a range, about, as long as there are fewer ranges than MAX_RANGES (so their table stays small to broadcast).
 RANGE_ROWS, MAX_RANGES = 500, 50_000
+#: Ranges that a part of the sort is cut into, as long as there are fewer parts than MAX_PARTS.
+PART_RANGES, MAX_PARTS = 64, 2_000
 #: A range is found among all by two searches in lists of about so many.
 FAN = 224
 
@@ -87,10 +91,15 @@ def _range_in(lows: Column, place: Column) -> Column:
 
 def ranges(df: DataFrame) -> DataFrame:
     """df: id, h. One row a range: ``range`` from the largest place on, ``low`` (its last place) and ``head`` (its first)."""
-    narrow = materialise(df.select("id", "h"), "successors")
-    wanted = max(1, min(MAX_RANGES, -(-narrow.count() // RANGE_ROWS)))
-    dealt = narrow.select(_place().alias("place")).repartitionByRange(wanted, "place")
-    cut = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min("place").alias("low"), F.max("place").alias("head"))
+    # a place is one row, so that no two ranges share it
+    narrow = materialise(df.select("id", "h").distinct(), "successors")
+    places = narrow.count()
+    each = max(RANGE_ROWS, -(-places // MAX_RANGES))
+    parts = max(1, min(MAX_PARTS, -(-places // (each * PART_RANGES))))
+    dealt = narrow.select(_place().alias("place")).repartitionByRange(parts, "place").sortWithinPartitions("place")
+    number = F.monotonically_increasing_id()  # a part's number, then its row's in 33 bits
+    dealt = dealt.withColumn("number", number).select("place", F.shiftright("number", 33).alias("part"), F.floor(F.col("number").bitwiseAND(F.lit((1 << 33) - 1)) / each).alias("slice"))
+    cut = dealt.groupBy("part", "slice").agg(F.min("place").alias("low"), F.max("place").alias("head"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("low").desc())  # of one row a range
     return materialise(cut.select((F.row_number().over(order) - 1).alias("range"), "low", "head"), "ranges")
 

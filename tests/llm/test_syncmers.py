@@ -33,13 +33,28 @@ def brute(rows):
 
 def test_edits_and_successors(spark, monkeypatch):
     monkeypatch.setattr(syncmers, "FAN", 3)
-    for per_range in (2000, 7, 2):
+    for per_range, per_part in ((2000, 64), (7, 64), (7, 3), (2, 1)):
         monkeypatch.setattr(syncmers, "RANGE_ROWS", per_range)
+        monkeypatch.setattr(syncmers, "PART_RANGES", per_part)
         df = spark.createDataFrame([(*r, "clash") for r in fixture()], "doc_id long, text string, next string")
         got = syncmers.compare(df).select("doc_id", "n_chars", "edited_sha256").collect()
         assert sorted(map(tuple, got), key=str) == brute(fixture())
 
 
+def test_ranges_are_cut_by_number_within_parts(spark, monkeypatch):
+    """Ranges follow each other without overlap, hold every place once, and the sort has few parts."""
+    monkeypatch.setattr(syncmers, "RANGE_ROWS", 10)
+    monkeypatch.setattr(syncmers, "PART_RANGES", 40)
+    rows = [(i // 3, i % 7) for i in range(4000)]
+    found = sorted(syncmers.ranges(spark.createDataFrame(rows, "id long, h long")).collect(), key=lambda r: r["range"])
+    places = sorted(set(rows), reverse=True)
+    assert [r["range"] for r in found] == list(range(len(found))) and len(places) / 10 <= len(found) <= len(places) / 10 + 10
+    at = {p: i for i, p in enumerate(places)}
+    assert at[tuple(found[0]["head"])] == 0 and at[tuple(found[-1]["low"])] == len(places) - 1
+    assert all(at[tuple(b["head"])] == at[tuple(a["low"])] + 1 for a, b in zip(found, found[1:], strict=False))
+    assert all(at[tuple(r["low"])] - at[tuple(r["head"])] < 10 for r in found)
+
+
 def test_ranges_hold_for_outliers_strings_and_hot_ids(spark, monkeypatch):
     monkeypatch.setattr(syncmers, "RANGE_ROWS", 50)
     rng = random.Random(8)
