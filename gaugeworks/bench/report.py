@@ -41,18 +41,19 @@ def as_json(rows: list[RunRow]) -> str:
 
 
 def page(rows: list[RunRow]) -> str:
-    """One section a scale, a bar a layout and query, as long as its median against the slowest."""
-    parts = ["<!doctype html><meta charset=utf-8><title>Layouts</title><style>body{font:14px sans-serif;margin:2em}.bar{background:#60a5fa;height:12px}td{padding:2px 8px}</style>"]
+    """One tab a scale, without scripts; in it a bar a layout and query, as long as its median against the slowest."""
     scales = list(dict.fromkeys(r.scale for r in rows))
-    parts.append("<nav>" + " ".join(f'<a href="#{html.escape(s)}">{html.escape(s)}</a>' for s in scales) + "</nav>")
-    for scale in scales:
-        parts.append(f'<h2 id="{html.escape(scale)}">{html.escape(scale)}</h2><table>')
+    shown = ",".join(f"#tab{i}:checked~#scale{i}" for i in range(len(scales))) or "section"
+    parts = [f"<!doctype html><meta charset=utf-8><title>Layouts</title><style>body{{font:14px sans-serif;margin:2em}}.bar{{background:#60a5fa;height:12px}}td{{padding:2px 8px}}section{{display:none}}{shown}{{display:block}}</style>"]
+    parts += [f'<input type=radio name=scale id=tab{i}{"" if i else " checked"}><label for=tab{i}>{html.escape(scale)}</label>' for i, scale in enumerate(scales)]
+    for i, scale in enumerate(scales):
+        parts.append(f"<section id=scale{i}><h2>{html.escape(scale)}</h2><table>")
         for query in dict.fromkeys(r.query for r in rows if r.scale == scale):
             own = [r for r in rows if (r.scale, r.query) == (scale, query)]
             slowest = max(r.stats.median_ns for r in own) or 1
             for r in own:
                 parts.append(f'<tr><td>{html.escape(query)}<td>{html.escape(r.layout)}<td>{r.stats.median_ns / 1000:.1f} us<td style="width:300px"><div class=bar style="width:{100 * r.stats.median_ns / slowest:.0f}%"></div>')
-        parts.append("</table>")
+        parts.append("</table></section>")
     return "\n".join(parts)
 
 

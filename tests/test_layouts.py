@@ -3,8 +3,8 @@ import re
 import pytest
 
 from gaugeworks.bench.recommend import recommend, winner, winners
-from gaugeworks.bench.report import write_suite
-from gaugeworks.bench.runner import SPECS, Arguments, load, query_mix, run_suite, run_table
+from gaugeworks.bench.report import page, write_suite
+from gaugeworks.bench.runner import SPECS, Arguments, RunRow, load, query_mix, run_suite, run_table
 from gaugeworks.bench.timing import LatencyStats, summarise
 from gaugeworks.layouts import LAYOUTS
 from gaugeworks.model import HOUR_MS, RangeQuery
@@ -146,3 +146,11 @@ def test_suite_reports(spark, tmp_path):
 def test_query_mix(spark):
     mix = query_mix(spark.createDataFrame([(0, "flow"), (1, "flow"), (2, "vibration")], "sensor_id long, sensor_type string"))
     assert mix.count() == 4 + 5
+
+
+def test_page_has_a_tab_a_scale():
+    rows = [RunRow(scale, "avg_window", layout, 10, summarise([t])) for scale in ("small", "<large>") for layout, t in (("aos", 1000), ("soa", 4000))]
+    text = page(rows)
+    assert text.count("type=radio") == text.count("<section id=scale") == 2 and text.count(" checked>") == 1
+    assert "#tab1:checked~#scale1" in text and "<h2>&lt;large&gt;</h2>" in text and "width:25%" in text
+    assert "type=radio" not in page([])
