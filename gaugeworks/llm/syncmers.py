@@ -41,6 +41,8 @@ SYMBOL_CHARS = 16
 RANGE_ROWS, MAX_RANGES = 500, 50_000
 #: Ranges that a part of the sort is cut into, as long as there are fewer parts than MAX_PARTS.
 PART_RANGES, MAX_PARTS = 64, 2_000
+#: Ranges of a task, about, so that tasks don't grow with the table.
+TASK_RANGES = 8
 #: A range is found among all by two searches in lists of about so many.
 FAN = 224
 
@@ -105,7 +107,7 @@ def ranges(df: DataFrame) -> DataFrame:
 
 
 def with_successor(df: DataFrame) -> DataFrame:
-    """df: id, text. Adds h (the text's hash), a range and, marked ``borrowed``, copies of the rows that the range before needs."""
+    """df: id, text. Adds h (the text's hash), a range and, marked ``borrowed``, copies of the rows that the range before needs; dealt by range."""
     df = df.withColumn("h", F.xxhash64("text"))
     cut = ranges(df)
     # a range is searched for among the last places of every FAN-th range, in one row, then among those of FAN ranges
@@ -118,13 +120,16 @@ def with_successor(df: DataFrame) -> DataFrame:
     heads = cut.select("range", F.coalesce(F.lead("head").over(whole), first).alias("head"))
     borrowed = dealt.drop("range").join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("head.id")) & (F.col("h") == F.col("head.h"))).drop("head")
     borrowed = borrowed.groupBy("range").agg(F.min(F.struct("id", "text", "h")).alias("row")).select("row.*", "range")  # of equal places, the first
-    return dealt.withColumn("borrowed", F.lit(False)).unionByName(borrowed.withColumn("borrowed", F.lit(True)))
+    rows = dealt.withColumn("borrowed", F.lit(False)).unionByName(borrowed.withColumn("borrowed", F.lit(True)))
+    tasks = -(-cut.count() // TASK_RANGES)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "range") if tasks > usual else rows.repartition("range")
 
 
 def compare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint beside that of its edited text: the last half replaced by the start of the next document."""
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    rows = with_anchors(with_successor(docs).repartition("range"), "text", "own_")
+    rows = with_anchors(with_successor(docs), "text", "own_")
     order = Window.partitionBy("range").orderBy("borrowed", F.col("id").desc_nulls_last(), F.col("h").desc(), "text")
     rows = rows.withColumn("next", F.lead("text").over(order)).withColumn("next_links", F.lead("own_links").over(order)).filter("not borrowed")
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))

@@ -55,6 +55,16 @@ def test_ranges_are_cut_by_number_within_parts(spark, monkeypatch):
     assert all(at[tuple(r["low"])] - at[tuple(r["head"])] < 10 for r in found)
 
 
+def test_tasks_grow_in_number_with_the_ranges(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "RANGE_ROWS", 4)
+    monkeypatch.setattr(syncmers, "TASK_RANGES", 2)
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(800)], "id long, text string")
+    dealt = syncmers.with_successor(df)
+    assert dealt.rdd.getNumPartitions() >= 100 and dealt.filter("not borrowed").count() == 800
+    got = syncmers.compare(df.withColumnRenamed("id", "doc_id")).select("doc_id", "edited_sha256").collect()
+    assert sorted((r.doc_id, r.edited_sha256) for r in got) == sorted((i, h) for i, _, h in brute([(i, f"text {i}") for i in range(800)]))
+
+
 def test_ranges_hold_for_outliers_strings_and_hot_ids(spark, monkeypatch):
     monkeypatch.setattr(syncmers, "RANGE_ROWS", 50)
     rng = random.Random(8)
